@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, spread
+
 #: Distinct field names whose alias components are solved on the driver.
 MAX_NAMES = 20_000
 
@@ -33,7 +35,7 @@ def cells(lines: DataFrame, producer: str, file: str, written: str, line: str) -
     object give none. Repeated lines repeat their cells.
     """
     spark = lines.sparkSession
-    parsed = lines.select(
+    parsed = spread(lines).select(
         F.col(producer).alias("producer"), F.col(file).alias("file"), F.col(written).alias("written"),
         F.col("line_no"), F.try_parse_json(F.col(line)).alias("v"),
     ).where(F.schema_of_variant("v").like("OBJECT%"))
@@ -131,21 +133,24 @@ def rename_evidence(cells: DataFrame, cat: DataFrame, edges: DataFrame) -> DataF
     new = edges.where("edge = 'start'").select(*place, F.col("field").alias("new_field"), F.col("type").alias("new_type"))
     pairs = old.join(new, place)
     files = cat.select("producer", "seq", "file", "last_file").distinct()
-    wanted = pairs.join(files, ["producer", "seq"])
-    ask_old = wanted.select(F.col("last_file").alias("file"), "producer", F.col("old_field").alias("field"), "seq").distinct()
-    ask_new = wanted.select("file", "producer", F.col("new_field").alias("field"), "seq").distinct()
-    facts = _comparable(cells.where(F.col("record").isNotNull()))
-    key = ["producer", "file", "field"]
-    before = facts.join(ask_old, key).where("fact IS NOT NULL").select("producer", "seq", "record", F.col("field").alias("old_field"), F.col("fact").alias("was"), F.col("boxed").alias("old_boxed")).distinct()
-    after = facts.join(ask_new, key).where("fact IS NOT NULL").select("producer", "seq", "record", F.col("field").alias("new_field"), F.col("fact").alias("now"), F.col("boxed").alias("new_boxed")).distinct()
+    wanted = edges.join(files, ["producer", "seq"])
+    ask = wanted.select(
+        "producer", "seq", "parent", "field", "edge", F.when(F.col("edge") == "end", F.col("last_file")).otherwise(F.col("file")).alias("file")
+    )
+    asked = cells.where(F.col("record").isNotNull()).join(ask, ["producer", "file", "parent", "field"])
+    facts = _comparable(asked).where("fact IS NOT NULL")
+    side = lambda e: F.collect_set(F.when(F.col("edge") == e, F.struct("field", "fact")))
+    # The names that change in one file are few, so a record's two sets are small.
     shown = (
-        pairs.join(before, ["producer", "seq", "old_field"])
-        .join(after, ["producer", "seq", "new_field", "record"])
-        .groupBy(*place, "old_field", "new_field")
+        facts.groupBy(*place, "record")
+        .agg(side("end").alias("was"), side("start").alias("now"))
+        .select(*place, F.explode("was").alias("w"), "now")
+        .select(*place, "w", F.explode("now").alias("n"))
+        .groupBy(*place, F.col("w.field").alias("old_field"), F.col("n.field").alias("new_field"))
         .agg(
-            F.count_if(F.col("was") == F.col("now")).alias("agree"),
-            F.count_if(F.col("was") != F.col("now")).alias("differ"),
-            F.countDistinct(F.when(F.col("was") == F.col("now"), F.col("was"))).alias("values"),
+            F.count_if(F.col("w.fact") == F.col("n.fact")).alias("agree"),
+            F.count_if(F.col("w.fact") != F.col("n.fact")).alias("differ"),
+            F.countDistinct(F.when(F.col("w.fact") == F.col("n.fact"), F.col("w.fact"))).alias("values"),
         )
     )
     return pairs.join(shown, [*place, "old_field", "new_field"], "left").fillna(0, ["agree", "differ", "values"])
@@ -170,9 +175,11 @@ def changes(lines: DataFrame, producer: str = "stream_name", file: str = "file_i
     the files has no type there and is not retyped. Empty input gives no rows.
     """
     cell = cells(lines, producer, file, written, line)
-    cat = catalogue(cell)
+    # Catalogue and evidence are as small as the fields of the files; written once, they
+    # keep the lines from being parsed for each use.
+    cat = cut(catalogue(cell))
     edges = _edges(cat)
-    evidence = rename_evidence(cell, cat, edges)
+    evidence = cut(rename_evidence(cell, cat, edges))
     leaf = lambda c: F.element_at(F.split(c, r"\."), -1)
     judged = evidence.withColumn("a", F.least(leaf("old_field"), leaf("new_field"))).withColumn("b", F.greatest(leaf("old_field"), leaf("new_field")))
     judged = judged.join(alias_table(evidence), ["a", "b"], "left")
