@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .lookalike import lookalikes, same_form
+from .quantiles import day_and_model_percentiles
 from .tokenizer import encode_texts
 
 
@@ -23,9 +24,14 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return same_form(pairs, ["a", "b"]).select("pair_id", "a_form", "b_form")
 
 
+def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    measures = ["response_time", "llm_cost", "example_score"]
+    return day_and_model_percentiles(table(spark, d, "predictions"), measures, {"response_time": -1.0})
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p7_ids": p7_ids}
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids}
 SQL: dict[str, str] = {}
