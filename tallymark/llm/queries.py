@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .lookalike import lookalikes, same_form
 from .quantiles import day_and_model_percentiles
+from .residue import clean_corpus, residue_ids
 from .tokenizer import encode_texts
 
 
@@ -33,5 +34,13 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue_ids(table(spark, d, "documents"))
+
+
+def p9_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return clean_corpus(table(spark, d, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids, "p9_found": p9_found, "p9_corpus": p9_corpus}
 SQL: dict[str, str] = {}
