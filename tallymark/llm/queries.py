@@ -6,12 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .canon import free_values
 from .lookalike import lookalikes, same_form
 from .quantiles import day_and_model_percentiles
 from .residue import clean_corpus, residue_ids
 from .tokenizer import encode_texts
 
 
+#: Use cases whose values are typed or answered freely.
+FREE = ["city", "brand", "job_title"]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    labels, answers = table(spark, d, "labels"), table(spark, d, "predictions")
+    records = labels.where(F.col("use_case").isin(FREE)).select(
+        F.lit("label").alias("record_kind"), F.col("label_id").alias("record_id"), F.col("use_case").alias("kind"), F.col("value").alias("text")
+    ).unionByName(
+        answers.where(F.col("use_case").isin(FREE)).select(
+            F.lit("prediction").alias("record_kind"), F.col("prediction_id").alias("record_id"), F.col("use_case").alias("kind"), F.col("predicted_value").alias("text")
+        )
+    )
+    return free_values(records, table(spark, d, "canonical_values"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = lookalikes(table(spark, d, "text_pairs"), ["pair_id"], "a", "b")
     answers = lookalikes(table(spark, d, "predictions"), ["prediction_id"], "predicted_value", "expected_value")
@@ -42,5 +59,5 @@ def p9_corpus(spark: SparkSession, d: str) -> DataFrame:
     return clean_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_forms": p3_forms, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids, "p9_found": p9_found, "p9_corpus": p9_corpus}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_forms": p3_forms, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids, "p9_found": p9_found, "p9_corpus": p9_corpus}
 SQL: dict[str, str] = {}

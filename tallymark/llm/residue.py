@@ -66,7 +66,8 @@ _TALK = regex.compile(r"\b(?:placeholder|marker|variable|syntax|notation|written
 
 
 def _fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    low = text.lower()
+    return low if low.isascii() else "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
 
 
 def _is_slot(delimiter: str, name: str) -> bool:
