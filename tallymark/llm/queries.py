@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..session import table
 from .canon import free_values
 from .lookalike import lookalikes, same_form
+from .names import class_pairs, mention_classes
+from .packing import fill_report, pack, token_sizes
 from .quantiles import day_and_model_percentiles
 from .residue import clean_corpus, residue_ids
 from .tokenizer import encode_texts
@@ -42,6 +44,20 @@ def p3_forms(spark: SparkSession, d: str) -> DataFrame:
     return same_form(pairs, ["a", "b"]).select("pair_id", "a_form", "b_form")
 
 
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    columns = ["mention_id", "name", "zip", "city"]
+    items = table(spark, d, "field_matching").select(F.explode(F.concat(*[F.coalesce(c, F.array()) for c in ("predicted_list", "expected_list")])).alias("m"))
+    return table(spark, d, "institutions").select(*columns).unionByName(items.where("m IS NOT NULL").select(*[f"m.{c}" for c in columns]))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return class_pairs(mention_classes(_mentions(spark, d)))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return mention_classes(_mentions(spark, d))
+
+
 def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     measures = ["response_time", "llm_cost", "example_score"]
     return day_and_model_percentiles(table(spark, d, "predictions"), measures, {"response_time": -1.0})
@@ -51,6 +67,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents"))
 
 
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack(token_sizes(table(spark, d, "documents")), table(spark, d, "prompt_windows"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p8_packing(spark, d), table(spark, d, "prompt_windows"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue_ids(table(spark, d, "documents"))
 
@@ -59,5 +83,5 @@ def p9_corpus(spark: SparkSession, d: str) -> DataFrame:
     return clean_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_forms": p3_forms, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids, "p9_found": p9_found, "p9_corpus": p9_corpus}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_forms": p3_forms, "p5_found": p5_found, "p5_classes": p5_classes, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_found": p9_found, "p9_corpus": p9_corpus}
 SQL: dict[str, str] = {}
