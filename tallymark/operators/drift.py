@@ -90,6 +90,7 @@ def catalogue(cells: DataFrame) -> DataFrame:
     kinds = cells.groupBy("producer", "file", "written", "parent", "field", "type").agg(F.count("*").alias("n"))
     rank = F.when(F.col("type") == "null", None).otherwise(F.struct("n", "type"))
     fields = kinds.groupBy("producer", "file", "written", "parent", "field").agg(F.max(rank).alias("_k")).withColumn("type", F.col("_k.type")).drop("_k")
+    fields = cut(fields)  # as small as the fields of the files; the lines are parsed once
     order = Window.partitionBy("producer").orderBy("written", "file")
     files = (
         fields.select("producer", "file", "written").distinct()
@@ -175,8 +176,6 @@ def changes(lines: DataFrame, producer: str = "stream_name", file: str = "file_i
     the files has no type there and is not retyped. Empty input gives no rows.
     """
     cell = cells(lines, producer, file, written, line)
-    # Catalogue and evidence are as small as the fields of the files; written once, they
-    # keep the lines from being parsed for each use.
     cat = cut(catalogue(cell))
     edges = _edges(cat)
     evidence = cut(rename_evidence(cell, cat, edges))
