@@ -59,8 +59,9 @@ def valid_staging(rows: DataFrame, wanted: DataFrame, key: str, hash_: str, orde
 
 
 def zip_lists(a: Column, b: Column) -> Column:
-    """Items of two lists by position, nulls beyond the shorter one."""
-    return F.arrays_zip(F.coalesce(a, F.array()), F.coalesce(b, F.array()))
+    """Structs ``a, b`` of the items of two lists by position, nulls beyond the shorter one."""
+    none = F.expr("array()")
+    return F.zip_with(F.coalesce(a, none), F.coalesce(b, none), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:
