@@ -271,6 +271,6 @@ def unify(lines: DataFrame, producer: str = "stream_name", file: str = "file_id"
     kind = {r.name: max(("number", "boolean", "string", "box"), key=lambda k: r[k]) for r in kinds.collect()}
     wide = named.withColumn("text", text).groupBy(F.col("file").alias("file_id"), "line_no").pivot("name", columns or [""]).agg(F.max("text"))
     bit = lambda c: F.when(F.lower(c).isin("true", "1"), True).when(F.lower(c).isin("false", "0"), False)
-    number = lambda c: F.coalesce(c.try_cast("double"), F.regexp_extract(c, r"^[A-Za-z]+-([0-9]+)$", 1).try_cast("double"))
+    number = lambda c: F.coalesce(c.try_cast("double"), c.try_cast("boolean").cast("double"), F.regexp_extract(c, r"^[A-Za-z]+-([0-9]+)$", 1).try_cast("double"))
     cast = {"number": number, "boolean": bit, "string": lambda c: c, "box": lambda c: c}
     return wide.select("file_id", "line_no", *[cast[kind.get(c, "string")](F.col(f"`{c}`")).alias(c) for c in columns])

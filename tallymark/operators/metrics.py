@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import f_score
+from ..session import cut
 
 
 def measured(c: str) -> Column:
@@ -154,7 +155,9 @@ def field_metrics(nodes: DataFrame, by: list[str]) -> DataFrame:
 
 def roll_up(fields: DataFrame, by: list[str]) -> DataFrame:
     """Precision and recall of every object as the weighted mean of its direct children,
-    deepest first; one join for each level of the deepest field."""
+    deepest first; one join for each level of the deepest field. ``fields`` is written once:
+    it has a row for each group and field, not for each node."""
+    fields = cut(fields)
     depth = F.size(F.split("field", r"\."))
     out = fields.withColumn("_d", F.when(F.col("field").isin("[root]", "[*]"), 0).otherwise(depth))
     deepest = out.agg(F.max("_d")).first()[0] or 0

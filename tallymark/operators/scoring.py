@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import assignment, similarity
 from ..functions.text import equal_score
+from ..session import spread
 from .arrowmap import map_batches
 
 NODE = "path string, score double, weight double, is_correct boolean, tp double, fp double, fn double, `precision` double, recall double, metric string, cost double"
@@ -295,7 +296,7 @@ def score_json(df: DataFrame, expected: str, actual: str, scorer: JsonScorer, co
 
         return step
 
-    return map_batches(df.select(*names), schema, make)
+    return map_batches(spread(df.select(*names)), schema, make)
 
 
 def score_columns(expected: Column, actual: Column, config: FieldConfig) -> Column:
