@@ -8,8 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of (compressed) input that one Python task takes on.
-TASK_BYTES = 16 << 20
+#: Bytes of (compressed) input that one Python task takes on, and tasks of a stage at most;
+#: beyond that tasks take on more.
+TASK_BYTES, MOST_TASKS = 16 << 20, 100_000
+#: An estimate from here on means that Catalyst does not know the size.
+UNKNOWN_BYTES = 1 << 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +25,12 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
-    """Partitions so that each core gets work and no task exceeds ``task_bytes``."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(2 * cores, math.ceil(min(plan_bytes(df), 1 << 52) / task_bytes))
+    """Partitions so that each core gets work and tasks take on ``task_bytes``; for a plan of
+    unknown size as many as the session shuffles into."""
+    spark = df.sparkSession
+    size = plan_bytes(df)
+    wanted = math.ceil(size / task_bytes) if size < UNKNOWN_BYTES else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(2 * spark.sparkContext.defaultParallelism, wanted), MOST_TASKS)
 
 
 def spread(df: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
