@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.arrowmap import map_batches
-from ..session import plan_bytes
+from ..session import UNKNOWN_BYTES, plan_bytes
 
 #: Greatest rank error, as a share of the count, after the last of the STAGES.
 EPS, STAGES = 0.01, 3
@@ -214,7 +214,8 @@ def day_and_model_percentiles(predictions: DataFrame, measures: list[str], faile
     Rows move once: they are partitioned by model, day and, beyond a gigabyte of input,
     a salt of their id, so that repeats meet and no hot group is one task's alone.
     """
-    salts = min(1024, 1 + (plan_bytes(predictions) >> 30))
+    size = plan_bytes(predictions)
+    salts = min(1024, 1 + (size >> 30)) if size < UNKNOWN_BYTES else 16
     clean = [F.when(F.col(m) != failed[m], F.col(m)).alias(m) if m in failed else F.col(m) for m in measures]
     rows = (
         predictions.select("prediction_id", "model", F.to_date("completed_at").alias("day"), *clean)

@@ -87,13 +87,17 @@ def has_placeholder(text: str) -> bool:
     if not any(c in text for c in "{[<%$_«#*"):
         return False
     text = _CODE.sub(" ", text)
+    told: list[tuple[int, int]] = []
     for found in (*_SURE.finditer(text), *_MAYBE.finditer(text)):
+        if any(a <= found.start() and found.end() <= b for a, b in told):
+            continue
         if found.re is _MAYBE and not _is_slot(found.group("d"), found.group("n")):
             continue
         if found.group().startswith("<") and f"</{found.group()[1:-1].strip().lower()}" in text.lower():
             continue  # an element of markup that is closed again
         before, after = text[max(0, found.start() - 120) : found.start()], text[found.end() : found.end() + 80]
         if _QUOTED.search(before) and after[:1] in "\"'”’“" and _TALK.search(before + " " + after):
+            told.append(found.span())
             continue
         return True
     return False
