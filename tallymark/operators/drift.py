@@ -27,19 +27,19 @@ _TYPE = (
 _LEAVES = r"""regexp_extract_all({j}, '"(?!key")[^"]*":("(?:[^"\\\\]|\\\\.)*"|[-+.0-9eE]+|true|false)', 1)"""
 
 
-def cells(lines: DataFrame, producer: str, file: str, written: str, line: str) -> DataFrame:
+def cells(lines: DataFrame, producer: str, file: str, written: str, line: str, asked: DataFrame | None = None) -> DataFrame:
     """One row for each field of each parseable object line, two levels deep.
 
     Columns ``producer, file, written, line_no, parent, field, type, value`` (VARIANT)
     and ``record``, the line's ``hash``. Lines that are null, blank, cut off or no
-    object give none. Repeated lines repeat their cells.
+    object give none. Repeated lines repeat their cells. With ``asked`` (``producer, file,
+    asks``) only those files are read, and ``asks`` goes along.
     """
     spark = lines.sparkSession
-    parsed = spread(lines).select(
-        F.col(producer).alias("producer"), F.col(file).alias("file"), F.col(written).alias("written"),
-        F.col("line_no"), F.try_parse_json(F.col(line)).alias("v"),
-    ).where(F.schema_of_variant("v").like("OBJECT%"))
-    head = ["producer", "file", "written", "line_no"]
+    raw = lines.select(F.col(producer).alias("producer"), F.col(file).alias("file"), F.col(written).alias("written"), "line_no", F.col(line).alias("line"))
+    raw = spread(raw) if asked is None else raw.join(asked, ["producer", "file"])
+    head = ["producer", "file", "written", "line_no", *([] if asked is None else ["asks"])]
+    parsed = raw.select(*head, F.try_parse_json("line").alias("v")).where(F.schema_of_variant("v").like("OBJECT%"))
     top = (
         parsed.withColumn("record", F.try_variant_get("v", "$.hash", "string"))
         .lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
@@ -125,20 +125,22 @@ def _edges(cat: DataFrame) -> DataFrame:
     return edges.where("parent = ''").unionByName(nested.select(*edges.columns))
 
 
-def rename_evidence(cells: DataFrame, cat: DataFrame, edges: DataFrame) -> DataFrame:
+def rename_evidence(lines: DataFrame, cat: DataFrame, edges: DataFrame, **names: str) -> DataFrame:
     """Every ending with every start of the same file and parent, and how far the
     values of the records in both files agree. The pairs are those of one file's few
-    changed names, never of records."""
+    changed names, never of records; only lines of files with a change are moved, and
+    only cells of changed fields leave them."""
     place = ["producer", "seq", "parent"]
     old = edges.where("edge = 'end'").select(*place, F.col("field").alias("old_field"), F.col("type").alias("old_type"))
     new = edges.where("edge = 'start'").select(*place, F.col("field").alias("new_field"), F.col("type").alias("new_type"))
     pairs = old.join(new, place)
     files = cat.select("producer", "seq", "file", "last_file").distinct()
-    wanted = edges.join(files, ["producer", "seq"])
-    ask = wanted.select(
-        "producer", "seq", "parent", "field", "edge", F.when(F.col("edge") == "end", F.col("last_file")).otherwise(F.col("file")).alias("file")
-    )
-    asked = cells.where(F.col("record").isNotNull()).join(ask, ["producer", "file", "parent", "field"])
+    wanted = edges.join(pairs.select(*place).distinct(), place, "left_semi").join(files, ["producer", "seq"])
+    ask = wanted.select("producer", F.when(F.col("edge") == "end", F.col("last_file")).otherwise(F.col("file")).alias("file"), F.struct("parent", "field", "edge", "seq").alias("a"))
+    asks = ask.groupBy("producer", "file").agg(F.collect_list("a").alias("asks"))
+    here = F.filter("asks", lambda a: (a["field"] == F.col("field")) & (a["parent"] == F.col("parent")))
+    cell = cells(lines, **names, asked=asks).where(F.col("record").isNotNull()).withColumn("_a", here).where(F.size("_a") > 0)
+    asked = cell.select("producer", "file", "record", "parent", "field", "value", "type", F.explode("_a").alias("_a")).withColumns({"edge": F.col("_a.edge"), "seq": F.col("_a.seq")})
     facts = _comparable(asked).where("fact IS NOT NULL")
     side = lambda e: F.collect_set(F.when(F.col("edge") == e, F.struct("field", "fact")))
     # The names that change in one file are few, so a record's two sets are small.
@@ -175,10 +177,10 @@ def changes(lines: DataFrame, producer: str = "stream_name", file: str = "file_i
     renamed and retyped gives two rows. A field whose values are all null in one of
     the files has no type there and is not retyped. Empty input gives no rows.
     """
-    cell = cells(lines, producer, file, written, line)
-    cat = cut(catalogue(cell))
+    names = {"producer": producer, "file": file, "written": written, "line": line}
+    cat = cut(catalogue(cells(lines, **names)))
     edges = _edges(cat)
-    evidence = cut(rename_evidence(cell, cat, edges))
+    evidence = cut(rename_evidence(lines, cat, edges, **names))
     leaf = lambda c: F.element_at(F.split(c, r"\."), -1)
     judged = evidence.withColumn("a", F.least(leaf("old_field"), leaf("new_field"))).withColumn("b", F.greatest(leaf("old_field"), leaf("new_field")))
     judged = judged.join(alias_table(evidence), ["a", "b"], "left")

@@ -34,10 +34,13 @@ def parts_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
 
 
 def spread(df: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
-    """Round-robin only when the scan has fewer splits than there are cores."""
-    have = df._jdf.queryExecution().toRdd().getNumPartitions()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if have >= cores else df.repartition(parts_for(df, task_bytes))
+    """Round-robin where a scan has fewer splits than there are cores, and after a shuffle,
+    whose partitions are sized for the JVM and not for Python."""
+    run = df._jdf.queryExecution()
+    if run.executedPlan().getClass().getSimpleName() != "AdaptiveSparkPlanExec":  # a plan with a shuffle would run here
+        if run.toRdd().getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+            return df
+    return df.repartition(parts_for(df, task_bytes))
 
 
 def latest_by(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
