@@ -179,7 +179,7 @@ def changes(lines: DataFrame, producer: str = "stream_name", file: str = "file_i
     """
     names = {"producer": producer, "file": file, "written": written, "line": line}
     cat = cut(catalogue(cells(lines, **names)))
-    edges = _edges(cat)
+    edges = cut(_edges(cat))
     evidence = cut(rename_evidence(lines, cat, edges, **names))
     leaf = lambda c: F.element_at(F.split(c, r"\."), -1)
     judged = evidence.withColumn("a", F.least(leaf("old_field"), leaf("new_field"))).withColumn("b", F.greatest(leaf("old_field"), leaf("new_field")))
