@@ -64,23 +64,6 @@ def triples(value) -> Iterator[tuple[str, str, int, object]]:
             stack += [(f"{path}[{i}]", parent, i, v) for i, v in enumerate(value)][::-1]
 
 
-def object_paths(value) -> list[tuple[str, str]]:
-    """(path, enclosing object's path) of every object inside: the triples without values."""
-    out, stack = [], [("$", "", value)]
-    while stack:
-        path, parent, value = stack.pop()
-        if type(value) is dict:
-            out.append((path, parent))
-            for k, v in value.items():
-                if type(v) is dict or type(v) is list:
-                    stack.append((f"{path}.{k}", path, v))
-        elif type(value) is list:
-            for i, v in enumerate(value):
-                if type(v) is dict or type(v) is list:
-                    stack.append((f"{path}[{i}]", parent, v))
-    return out
-
-
 def table_of(path: str) -> str:
     """The path with every list position replaced by [*]."""
     out, rest = [], path
@@ -115,6 +98,11 @@ def pivot(value) -> list[tuple[str, str, str, int, list[tuple[str, str]]]]:
     return list(rows.values())
 
 
+def object_paths(value) -> list[tuple[str, str]]:
+    """(path, enclosing object's path) of every object inside: the pivoted rows without attributes."""
+    return list(dict.fromkeys(row[:2] for row in pivot(value)))
+
+
 def flatten(df: DataFrame, key: str, fields: list[str], attributes: bool = True) -> DataFrame:
     """A row for each JSON object in the ``fields`` of ``df``.
 

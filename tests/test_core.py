@@ -234,6 +234,13 @@ def test_nested(spark):
     assert nested.flatten(df.limit(0), "id", ["v"]).count() == 0
 
 
+def test_object_paths_come_from_pivoted_triples(monkeypatch):
+    seen, triples = [], nested.triples
+    monkeypatch.setattr(nested, "triples", lambda v: seen.append(v) or triples(v))
+    value = {"a": {"b": [{"c": 1}, {}]}, "d": 1}
+    assert nested.object_paths(value) == [r[:2] for r in nested.pivot(value)] and seen == [value, value]
+
+
 def test_every_core_query_runs(spark, sf):
     from tallymark import catalog
 
