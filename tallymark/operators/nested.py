@@ -52,16 +52,29 @@ def find_json(text: str | None):
     return None
 
 
-def triples(value) -> Iterator[tuple[str, str, int, object]]:
-    """(path, enclosing object's path, ordinal, value) of every value inside, parents first."""
-    stack = [("$", "", 0, value)]
+def is_branch(value) -> bool:
+    """Whether this is a list that holds objects or lists."""
+    return isinstance(value, list) and any(isinstance(x, (dict, list)) for x in value)
+
+
+def triples(value) -> Iterator[tuple[str, str, int, str, bool, int, object]]:
+    """(path, table, owner, name, keyed, ordinal, value) of every value inside, parents
+    first; a list of scalars is one value.
+
+    ``owner`` is the number of the enclosing object, counting objects as they come, -1
+    for none; ``name`` is the path from there on, ``keyed`` if it is one key. The table
+    is the path with list positions left out: steps are told apart by kind, not by print.
+    """
+    stack, objects = [("$", "$", -1, "$", False, 0, value)], 0
     while stack:
-        path, parent, ordinal, value = item = stack.pop()
+        item = stack.pop()
         yield item
+        path, table, owner, name, _, _, value = item
         if isinstance(value, dict):
-            stack += [(f"{path}.{k}", path, i, v) for i, (k, v) in enumerate(value.items())][::-1]
-        elif isinstance(value, list):
-            stack += [(f"{path}[{i}]", parent, i, v) for i, v in enumerate(value)][::-1]
+            stack += [(f"{path}.{k}", f"{table}.{k}", objects, k, True, i, v) for i, (k, v) in enumerate(value.items())][::-1]
+            objects += 1
+        elif is_branch(value):
+            stack += [(f"{path}[{i}]", f"{table}[*]", owner, f"{name}[{i}]", False, i, v) for i, v in enumerate(value)][::-1]
 
 
 def table_of(path: str) -> str:
@@ -80,31 +93,46 @@ def table_of(path: str) -> str:
     return "".join(out)
 
 
-def pivot(value) -> list[tuple[str, str, str, int, list[tuple[str, str]]]]:
+def pivot(value) -> list[tuple[str, str, str, int, dict[str, str]]]:
     """(node path, parent path, table, ordinal, attributes) of each object.
 
-    Scalar members are attributes: text as it is, other scalars as JSON; a null member
-    has none. A list without objects is one attribute, its JSON text.
+    Scalar members are attributes: text as it is, other scalars as JSON; a null has
+    none. A list without objects and lists is one attribute, its JSON text; the scalars
+    of any other list are attributes named by key and position, such as ``note[0]``, and
+    so are lists in it. A positional name that is also a key gets quotes behind it. What
+    stands in no object, in a list that is the whole value, is held by a last row with
+    path and table ``$``, of that list. Objects whose paths print alike keep a row each.
     """
-    rows: dict[str, tuple] = {}
-    for path, parent, ordinal, v in triples(value):
+    rows: list[tuple] = []
+    placed: list[tuple[int, str, str]] = []
+    for path, table, owner, name, keyed, ordinal, v in triples(value):
         if isinstance(v, dict):
-            rows[path] = (path, parent, table_of(path), ordinal, [])
-        elif v is not None and parent and not path.endswith("]"):
-            if not isinstance(v, list):
-                rows[parent][4].append((path[len(parent) + 1 :], v if isinstance(v, str) else json.dumps(v)))
-            elif not any(isinstance(x, (dict, list)) for x in v):
-                rows[parent][4].append((path[len(parent) + 1 :], json.dumps(v, ensure_ascii=False)))
-    return list(rows.values())
+            rows.append((path, rows[owner][0] if owner >= 0 else "", table, ordinal, {}))
+        elif v is not None and not is_branch(v):
+            text = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+            if keyed:
+                rows[owner][4][name] = text
+            else:
+                placed.append((owner, name, text))
+    if any(owner < 0 for owner, _, _ in placed):
+        rows.append(("$", "", "$", 0, {}))  # owner -1 is the last row
+    for owner, name, text in placed:
+        held = rows[owner][4]
+        while name in held:
+            name += "'"
+        held[name] = text
+    return rows
 
 
 def object_paths(value) -> list[tuple[str, str]]:
     """(path, enclosing object's path) of every object inside: the pivoted rows without attributes."""
-    return list(dict.fromkeys(row[:2] for row in pivot(value)))
+    whole = isinstance(value, list)  # a list at the top has a row and is no object
+    return list(dict.fromkeys(row[:2] for row in pivot(value) if not (whole and row[0] == "$")))
 
 
 def flatten(df: DataFrame, key: str, fields: list[str], attributes: bool = True) -> DataFrame:
-    """A row for each JSON object in the ``fields`` of ``df``.
+    """A row for each JSON object in the ``fields`` of ``df``, and with ``attributes`` for
+    each list that is a whole value and holds what is in no object.
 
     Columns ``key, field_name, node_path, parent_path`` and, with ``attributes``,
     ``table_path, ordinal, attributes`` (a map). Rows with a null key stay under null;
@@ -113,9 +141,11 @@ def flatten(df: DataFrame, key: str, fields: list[str], attributes: bool = True)
     """
     kind = dict(df.dtypes)[key]
     texts = [F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]
+    opens = ("{", "[") if attributes else ("{",)
     holds = F.lit(False)
     for i in range(len(fields)):
-        holds |= F.coalesce(F.col(f"f{i}").contains("{"), F.lit(False))
+        for c in opens:
+            holds |= F.coalesce(F.col(f"f{i}").contains(c), F.lit(False))
     rows = spread(df.select(F.col(key).alias("k"), *texts).where(holds)).dropDuplicates(["k"])
     schema = f"k {kind}, field_name string, node_path string, parent_path string" + (
         ", table_path string, ordinal int, attributes map<string,string>" if attributes else ""
@@ -126,7 +156,7 @@ def flatten(df: DataFrame, key: str, fields: list[str], attributes: bool = True)
             row, name, nodes = [], [], []
             for i, field in enumerate(fields):
                 for at, text in enumerate(batch.column(i + 1).to_pylist()):
-                    if text and "{" in text:
+                    if text and any(c in text for c in opens):
                         value = find_json(text)
                         if value is not None:
                             found = pivot(value) if attributes else object_paths(value)
@@ -137,7 +167,7 @@ def flatten(df: DataFrame, key: str, fields: list[str], attributes: bool = True)
             columns += [pa.array([n[i] for n in nodes], pa.string()) for i in range(2)]
             if attributes:
                 columns += [pa.array([n[2] for n in nodes], pa.string()), pa.array([n[3] for n in nodes], pa.int32())]
-                columns += [pa.array([list(dict(n[4]).items()) for n in nodes], pa.map_(pa.string(), pa.string()))]
+                columns += [pa.array([list(n[4].items()) for n in nodes], pa.map_(pa.string(), pa.string()))]
             return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
         return step

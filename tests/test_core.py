@@ -241,6 +241,21 @@ def test_object_paths_come_from_pivoted_triples(monkeypatch):
     assert nested.object_paths(value) == [r[:2] for r in nested.pivot(value)] and seen == [value, value]
 
 
+def test_nested_keeps_list_scalars(spark):
+    attributes = lambda v: {(r[0], r[1], r[2]): r[4] for r in nested.pivot(v)}
+    root = ("$", "", "$")
+    assert attributes({"n": ["see text", {"line": 2}, None]}) == {root: {"n[0]": "see text"}, ("$.n[1]", "$", "$.n[*]"): {"line": "2"}}
+    assert attributes({"m": [[1, 2], [3, [4]], []]}) == {root: {"m[0]": "[1, 2]", "m[1][0]": "3", "m[1][1]": "[4]", "m[2]": "[]"}}
+    assert attributes({"a[0]": "x", "b]": 1, "a": ["y", {}]}) == {root: {"a[0]": "x", "b]": "1", "a[0]'": "y"}, ("$.a[1]", "$", "$.a[*]"): {}}
+    assert attributes({"a.b": {"x": 1}, "a": {"b": {"x": 2}}}) == {root: {}, ("$.a.b", "$", "$.a.b"): {"x": "1"}, ("$.a", "$", "$.a"): {}, ("$.a.b", "$.a", "$.a.b"): {"x": "2"}}
+    assert attributes({"k[0]": {}}) == {root: {}, ("$.k[0]", "$", "$.k[0]"): {}}
+    top = ["see text", {"line": 2}]
+    assert attributes(top) == {("$[1]", "", "$[*]"): {"line": "2"}, root: {"$[0]": "see text"}} and nested.object_paths(top) == [("$[1]", "")]
+    df = spark.createDataFrame([(1, json.dumps(top)), (2, '["a", "b"]')], "id int, v string")
+    assert {(r.id, r.node_path): r.attributes for r in nested.flatten(df, "id", ["v"]).collect()} == {(1, "$[1]"): {"line": "2"}, (1, "$"): {"$[0]": "see text"}, (2, "$"): {"$": '["a", "b"]'}}
+    assert [(r.id, r.node_path) for r in nested.flatten(df, "id", ["v"], attributes=False).collect()] == [(1, "$[1]")]
+
+
 def test_every_core_query_runs(spark, sf):
     from tallymark import catalog
 
