@@ -216,63 +216,127 @@ def changes(lines: DataFrame, producer: str = "stream_name", file: str = "file_i
     return log.join(files, ["producer", "seq"]).select(F.col("file").alias("file_id"), "change_kind", "old_field", "new_field", "old_type", "new_type").distinct()
 
 
-def canonical_names(lines: DataFrame, log: DataFrame, **names: str) -> dict[tuple[str, bool], str]:
-    """(field, is container) -> one name for all its aliases: the most frequent, ties by name.
+# The members of a container, an object or a list of {"key": name, other: value}, as entries.
+_ENTRIES = """coalesce(map_entries(try_variant_get(_b, '$', 'map<string,variant>')),
+  CASE WHEN forall(try_variant_get(_b, '$', 'array<map<string,variant>>'), x -> size(x) = 2 AND try_variant_get(x['key'], '$', 'string') IS NOT NULL)
+  THEN transform(try_variant_get(_b, '$', 'array<map<string,variant>>'), x -> named_struct('key', try_variant_get(x['key'], '$', 'string'), 'value', map_values(map_filter(x, (k, v) -> k <> 'key'))[0])) END)"""
 
-    Solved on the driver over distinct names, whose number is checked.
+
+def _members(lines: DataFrame, **names: str) -> DataFrame:
+    """``file, line_no, parent, field, type, boxed, filled, text`` of each field that is not
+    null and of each member of the containers among them, told as an object, as a list of
+    keys and values, or as the JSON text of either. ``parent`` is the container's field or
+    ''; ``boxed`` values are or hold containers, ``filled`` ones have members."""
+    top = _comparable(cells(lines, **names).where("parent = '' AND type <> 'null'"))
+    text = F.try_variant_get("value", "$", "string")
+    box = F.when(F.col("type").isin("object", "array"), F.col("value")).when(F.col("boxed"), F.try_parse_json(text))
+    top = top.withColumn("_b", box).withColumn("_e", F.expr(_ENTRIES)).withColumn("filled", F.coalesce(F.size("_e") > 0, F.lit(False)))
+    inner = top.where("filled").select("file", "line_no", F.col("field").alias("parent"), F.explode("_e").alias("_m"))
+    inner = inner.select("file", "line_no", "parent", F.col("_m.key").alias("field"), F.col("_m.value").alias("value"), F.schema_of_variant("_m.value").alias("_t"))
+    inner = _comparable(inner.withColumn("type", F.expr(_TYPE.format(t="_t")))).where("type <> 'null'").withColumn("filled", F.lit(False))
+    told = F.when(F.col("type").isin("object", "array"), F.to_json("value")).otherwise(text).alias("text")
+    head = ["file", "line_no", "parent", "field", "type", "boxed", "filled"]
+    return top.select(*head, told).unionByName(inner.select(*head, told))
+
+
+def canonical_names(used: list, log: DataFrame) -> dict[tuple[str, str, bool], tuple[str, str]]:
+    """(parent, field, is container) -> one (parent, field) for all its aliases: the most
+    frequent, ties by name. Members are aliases under one name of their parent.
+
+    ``used`` are counts of ``parent, field, type, boxed``. Solved on the driver. A string
+    that holds a container is one only where the field has containers elsewhere.
     """
     box = ("object", "array")
-    cell = cells(lines, **names)
-    used = cell.where("parent = '' AND type <> 'null'").groupBy("field", F.col("type").isin(*box).alias("boxed")).agg(F.count("*").alias("n")).limit(MAX_NAMES + 1).collect()
-    if len(used) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} distinct field names")
-    count = {(r.field, r.boxed): r.n for r in used}
-    root = {k: k for k in count}
-
-    def find(k):
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    pairs = log.where("change_kind = 'renamed' AND instr(old_field, '.') = 0").select("old_field", "new_field", "old_type", "new_type").distinct().collect()
-    for r in sorted(pairs):
-        boxed = r.old_type in box or r.new_type in box
-        a, b = (r.old_field, boxed), (r.new_field, boxed)
-        if a in root and b in root:
-            a, b = find(a), find(b)
-            if a != b:
-                keep, lose = sorted((a, b), key=lambda k: (-count[k], k))
-                root[lose] = keep
-                count[keep] += count[lose]
-    return {k: find(k)[0] for k in root}
+    pairs = sorted(log.where("change_kind = 'renamed'").select("old_field", "new_field", "old_type", "new_type").distinct().collect())
+    boxes = {(r.parent, r.field) for r in used if r.type in box}
+    boxes |= {("", f) for r in pairs if r.old_type in box or r.new_type in box for f in (r.old_field, r.new_field)}
+    count: dict[tuple[str, str, bool], int] = {}
+    for r in used:
+        k = (r.parent, r.field, r.boxed and (r.parent, r.field) in boxes)
+        count[k] = count.get(k, 0) + r.n
+
+    def solve(count: dict, renames: list[tuple]) -> dict:
+        root = {k: k for k in count}
+
+        def find(k):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for a, b in renames:
+            if a in root and b in root:
+                a, b = find(a), find(b)
+                if a != b:
+                    keep, lose = sorted((a, b), key=lambda k: (-count[k], k))
+                    root[lose] = keep
+                    count[keep] += count[lose]
+        return {k: find(k) for k in root}
+
+    def renamed(parent: str) -> list[tuple[tuple, tuple]]:
+        start = len(parent) + 1 if parent else 0
+        under = [r for r in pairs if not parent or (r.old_field.startswith(f"{parent}.") and r.new_field.startswith(f"{parent}."))]
+        return [((r.old_field[start:], b), (r.new_field[start:], b)) for r in under for b in [r.old_type in box or r.new_type in box]]
+
+    top = solve({(f, b): n for (p, f, b), n in count.items() if not p}, renamed(""))
+    names = {("", f, b): ("", to) for (f, b), (to, _) in top.items()}
+    homes: dict[str, list[str]] = {}
+    for p in sorted({p for p, _, _ in count if p}):
+        if (p, True) in top:  # members of JSON text in a text field stay in it
+            homes.setdefault(top[p, True][0], []).append(p)
+    for home, parents in homes.items():
+        inside: dict[tuple[str, bool], int] = {}
+        for (p, f, b), n in count.items():
+            if p in parents:
+                inside[f, b] = inside.get((f, b), 0) + n
+        found = solve(inside, [x for p in parents for x in renamed(p)])
+        names |= {(p, f, b): (home, found[f, b][0]) for p, f, b in count if p in parents}
+    return names
 
 
 def unify(lines: DataFrame, producer: str = "stream_name", file: str = "file_id", written: str = "written_at", line: str = "line_text") -> DataFrame:
-    """All parseable lines in one table: ``file_id, line_no`` and a column for each field.
+    """All parseable lines in one table: ``file_id, line_no`` and a column for each field
+    and, named ``parent.key``, for each member of a container.
 
-    Renamed fields share a column. A column holds numbers if numbers prevail among
-    its scalars (booleans and numeric strings are cast), booleans likewise, JSON text
-    if it is a container, else text; what a cast cannot represent becomes null.
-    A scalar and a container under one name have two columns, the latter ending in
-    ``_json``. Repeated line numbers count once.
+    Renamed fields and members share a column, under the name that the parents share. A
+    column holds numbers if numbers prevail among its scalars (booleans and numeric strings
+    are cast), booleans likewise, JSON text if it is a container, else text; what a cast
+    cannot represent becomes null. Containers told as a list of keys and values or as JSON
+    text have the same members. Those without members (empty, or any other list) and those
+    two levels deep are JSON text. A scalar and a container under one name have two
+    columns, the latter ending in ``_json``; a name that is taken gets ``_`` behind it.
+    Repeated line numbers count once.
     """
     names = {"producer": producer, "file": file, "written": written, "line": line}
-    alias = canonical_names(lines, changes(lines, **names), **names)
-    cell = _comparable(cells(lines, **names).where("parent = ''"))
+    cell = _members(lines, **names)
+    used = cell.groupBy("parent", "field", "type", "boxed", "filled").agg(F.count("*").alias("n")).limit(8 * MAX_NAMES + 1).collect()
+    if len({(r.parent, r.field) for r in used}) > MAX_NAMES or len(used) > 8 * MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} distinct field names")
+    alias = canonical_names(used, changes(lines, **names))
+    scalars = {c for (_, _, b), c in alias.items() if not b}
+    kept: dict[tuple, tuple] = {}
+    number: dict[tuple, dict[str, int]] = {}
+    for r in used:
+        b = (r.parent, r.field, True) in alias and r.boxed
+        if (r.parent, r.field, b) in alias and not (b and r.filled and not r.parent):  # what has members is told by them
+            column = kept[r.parent, r.field, r.boxed, r.filled] = (*alias[r.parent, r.field, b], b)
+            of = number.setdefault(column, {})
+            of["box" if b else r.type] = of.get("box" if b else r.type, 0) + r.n
+    taken, title = {"file_id", "line_no"}, {}
+    for column in sorted(number):
+        p, f, b = column
+        name = (f"{p}.{f}" if p else f) + ("_json" if b and (p, f) in scalars else "")
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        title[column] = name
     spark = lines.sparkSession
-    rows = [(f, b, c + ("_json" if b and (c, False) in alias and alias[c, False] == c else "")) for (f, b), c in sorted(alias.items())]
-    mapping = spark.createDataFrame(rows or [("", False, "")], "field string, boxed boolean, name string")
-    # A JSON string that holds a container goes with the container's column if there is one.
-    named = cell.where("type <> 'null'").join(F.broadcast(mapping), ["field", "boxed"])
-    text = F.when(F.col("type").isin("object", "array"), F.to_json("value")).otherwise(F.try_variant_get("value", "$", "string"))
-    columns = sorted({n for _, _, n in rows})
-    kinds = named.groupBy("name").agg(
-        F.count_if(F.col("type") == "number").alias("number"), F.count_if(F.col("type") == "boolean").alias("boolean"),
-        F.count_if(F.col("type") == "string").alias("string"), F.count_if(F.col("boxed")).alias("box"),
-    )
-    kind = {r.name: max(("number", "boolean", "string", "box"), key=lambda k: r[k]) for r in kinds.collect()}
-    wide = named.withColumn("text", text).groupBy(F.col("file").alias("file_id"), "line_no").pivot("name", columns or [""]).agg(F.max("text"))
+    rows = [(*k, title[c]) for k, c in sorted(kept.items())]
+    mapping = spark.createDataFrame(rows or [("", "", False, False, "")], "parent string, field string, boxed boolean, filled boolean, name string")
+    named = cell.join(F.broadcast(mapping), ["parent", "field", "boxed", "filled"])
+    columns = sorted(title.values())
+    kind = {title[c]: max(("number", "boolean", "string", "box"), key=lambda k: n.get(k, 0)) for c, n in number.items()}
+    wide = named.groupBy(F.col("file").alias("file_id"), "line_no").pivot("name", columns or [""]).agg(F.max("text"))
     bit = lambda c: F.when(F.lower(c).isin("true", "1"), True).when(F.lower(c).isin("false", "0"), False)
-    number = lambda c: F.coalesce(c.try_cast("double"), c.try_cast("boolean").cast("double"), F.regexp_extract(c, r"^[A-Za-z]+-([0-9]+)$", 1).try_cast("double"))
-    cast = {"number": number, "boolean": bit, "string": lambda c: c, "box": lambda c: c}
-    return wide.select("file_id", "line_no", *[cast[kind.get(c, "string")](F.col(f"`{c}`")).alias(c) for c in columns])
+    numeric = lambda c: F.coalesce(c.try_cast("double"), c.try_cast("boolean").cast("double"), F.regexp_extract(c, r"^[A-Za-z]+-([0-9]+)$", 1).try_cast("double"))
+    cast = {"number": numeric, "boolean": bit, "string": lambda c: c, "box": lambda c: c}
+    return wide.select("file_id", "line_no", *[cast[kind[c]](F.col(f"`{c.replace('`', '``')}`")).alias(c) for c in columns])

@@ -221,6 +221,19 @@ def test_drift(spark):
     assert drift.changes(stage(spark, [(1, a), (2, b)]).limit(0)).count() == 0
 
 
+def test_unify_members(spark):
+    a = [json.dumps({"hash": str(i), "cost": {"llm": i / 8, "cur": "USD", "deep": {"q": 1}}, "answer": '{"k": 1}', "l": [1]}) for i in range(8)]
+    b = [json.dumps({"hash": str(i), "cost": {"llm_cost": str(i / 8), "cur": "USD"}, "answer": "x", "l": [2]}) for i in range(9)]
+    c = [json.dumps({"hash": "20", "cost": [{"key": "llm_cost", "val": 2.5}, {"key": "cur", "val": "EUR"}]}), json.dumps({"hash": "21", "cost": '{"llm": 3.5}'}), json.dumps({"hash": "22", "cost": {}}), json.dumps({"hash": "23", "cost": [7]})]
+    wide = drift.unify(stage(spark, [(1, a), (2, b), (3, c)]))
+    assert dict(wide.dtypes) == {"file_id": "bigint", "line_no": "int", "answer": "string", "cost": "string", "cost.cur": "string", "cost.deep": "string", "cost.llm_cost": "double", "hash": "double", "l": "string"} | {"hash": dict(wide.dtypes)["hash"]}
+    got = {(r.file_id, r.line_no): r for r in wide.collect()}
+    assert [got[1, 3][x] for x in ("cost.llm_cost", "cost.cur", "cost.deep", "cost", "answer", "l")] == [0.375, "USD", '{"q":1}', None, '{"k": 1}', "[1]"]
+    assert got[2, 3]["cost.llm_cost"] == 0.375 and got[2, 3].answer == "x"
+    assert [got[3, i]["cost.llm_cost"] for i in range(4)] == [2.5, 3.5, None, None] and got[3, 0]["cost.cur"] == "EUR"
+    assert [got[3, i].cost for i in range(4)] == [None, None, "{}", "[7]"] and len(got) == 21
+
+
 def test_nested(spark):
     objects = lambda t: None if (v := nested.find_json(t)) is None else nested.object_paths(v)
     assert sorted(objects('{"a": {"b": [{"c": 1}, {}]}, "d": 1}')) == [("$", ""), ("$.a", "$"), ("$.a.b[0]", "$.a"), ("$.a.b[1]", "$.a")]
