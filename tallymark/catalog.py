@@ -95,8 +95,7 @@ def labelled_documents(spark: SparkSession, d: str) -> DataFrame:
 FROM {_p('predicted_value', 'expected_value', 'use_case')} WHERE use_case IN ('topic', 'sentiment') AND regexp_full_match(coalesce(predicted_value, '') || coalesce(expected_value, ''), '[\\x01-\\x7f]*')""")
 def equality_scores(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d, "predicted_value", "expected_value", "use_case").where("use_case IN ('topic', 'sentiment')")
-    plain = F.concat(F.coalesce("predicted_value", F.lit("")), F.coalesce("expected_value", F.lit(""))).rlike(r"^[\x01-\x7f]*$")
-    return p.where(plain).select("prediction_id", text.equal_score(F.col("predicted_value"), F.col("expected_value")).alias("score"))
+    return p.select("prediction_id", text.equal_score(F.col("predicted_value"), F.col("expected_value")).alias("score"))
 
 
 _RATE = "CASE WHEN contains(lower(model), 'llama') THEN CASE WHEN TRY_CAST(regexp_extract(lower(model), '(\\d+(?:\\.\\d+)?)\\s*b\\b', 1) AS DOUBLE) <= 8 THEN 1.006 WHEN TRY_CAST(regexp_extract(lower(model), '(\\d+(?:\\.\\d+)?)\\s*b\\b', 1) AS DOUBLE) <= 30 THEN 1.212 ELSE 16.288 END ELSE 1.212 END"
@@ -265,9 +264,8 @@ def unknown_labels(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT DISTINCT pair_id, lower(trim(a, e' \\t\\n\\r')) = lower(trim(b, e' \\t\\n\\r')) AS same, trim(a, e' \\t\\n\\r') = trim(b, e' \\t\\n\\r') AS same_case,
 replace(lower(trim(a, e' \\t\\n\\r')), ' ', '') = replace(lower(trim(b, e' \\t\\n\\r')), ' ', '') AS same_packed FROM text_pairs WHERE regexp_full_match(coalesce(a, '') || coalesce(b, ''), '[\\x01-\\x7f]*')""")
 def exact_comparisons(spark: SparkSession, d: str) -> DataFrame:
-    plain = F.concat(F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))).rlike(r"^[\x01-\x7f]*$")
     a, b = F.col("a"), F.col("b")
-    return table(spark, d, "text_pairs").where(plain).select(
+    return table(spark, d, "text_pairs").select(
         "pair_id", text.exact_compare(a, b).alias("same"), text.exact_compare(a, b, case_sensitive=True).alias("same_case"), text.exact_compare(a, b, ignore_spaces=True).alias("same_packed")
     ).distinct()
 

@@ -269,6 +269,20 @@ def test_nested_keeps_list_scalars(spark):
     assert [(r.id, r.node_path) for r in nested.flatten(df, "id", ["v"], attributes=False).collect()] == [(1, "$[1]")]
 
 
+def test_text_queries_hold_all_scripts(spark, tmp_path):
+    from tallymark import catalog
+
+    sides = ["plain", " PLAIN\t", "Ünï", "\u3000üNÏ\u00a0", "ПРИВЕТ", "привет\u2003", "日本", "日 本", "日\u3000本", "ß", "ss", "", None]
+    pairs = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in sides for b in sides)]
+    spark.createDataFrame([(*p, "topic") for p in pairs], "prediction_id int, predicted_value string, expected_value string, use_case string").write.parquet(str(tmp_path / "predictions.parquet"))
+    spark.createDataFrame(pairs, "pair_id int, a string, b string").write.parquet(str(tmp_path / "text_pairs.parquet"))
+    want = lambda f: {i: None if a is None or b is None else f(a.strip()) == f(b.strip()) for i, a, b in pairs}
+    same, same_case, packed = want(str.lower), want(str), want(lambda x: x.lower().replace(" ", ""))
+    assert {r.prediction_id: r.score for r in catalog.QUERIES["equality_scores"](spark, str(tmp_path)).collect()} == same
+    got = {r.pair_id: tuple(r)[1:] for r in catalog.QUERIES["exact_comparisons"](spark, str(tmp_path)).collect()}
+    assert got == {i: (same[i], same_case[i], packed[i]) for i in same}
+
+
 def test_every_core_query_runs(spark, sf):
     from tallymark import catalog
 
