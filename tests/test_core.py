@@ -283,6 +283,15 @@ def test_text_queries_hold_all_scripts(spark, tmp_path):
     assert got == {i: (same[i], same_case[i], packed[i]) for i in same}
 
 
+def test_effective_costs_keep_unmeasured_costs(spark, tmp_path):
+    from tallymark import catalog
+
+    rows = [(1, "m", float("nan"), 1800.0), (2, "m", 0.5, 1800.0), (3, "m", 0.0, 3600.0), (4, "m", None, float("nan"))]
+    spark.createDataFrame(rows, "prediction_id int, model string, llm_cost double, response_time double").write.parquet(str(tmp_path / "predictions.parquet"))
+    got = {r.prediction_id: (r.cost, r.cost_at_rate) for r in catalog.QUERIES["effective_costs"](spark, str(tmp_path)).collect()}
+    assert got == {1: (None, 2.5), 2: (0.5, 2.5), 3: (1.212, 5.0), 4: (None, None)}
+
+
 def test_every_core_query_runs(spark, sf):
     from tallymark import catalog
 
