@@ -22,7 +22,7 @@ from ..operators.arrowmap import map_batches
 from ..session import UNKNOWN_BYTES, plan_bytes
 
 #: Greatest rank error, as a share of the count, after the last of the STAGES.
-EPS, STAGES = 0.01, 3
+EPS, STAGES = 0.001, 3
 #: Rows that a task sorts at once.
 CHUNK_ROWS = 500_000
 

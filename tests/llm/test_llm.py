@@ -169,6 +169,12 @@ def test_percentiles_of_days_and_models(spark, monkeypatch):
     assert quantiles.day_and_model_percentiles(df.limit(0), ["llm_cost"], {}).count() == 0
 
 
+def test_default_bound_is_well_below_the_tail():
+    n = 6000
+    s = quantiles.compress(quantiles.exact(np.arange(1, n + 1, dtype=float)), quantiles.EPS * n)
+    assert abs(quantiles.query(s, 0.99) - 5940) <= 0.1 * (1 - 0.99) * n + 1e-6
+
+
 # 7: tokenizer
 
 
