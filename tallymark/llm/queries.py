@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .canon import free_values
+from .canon import free_values, unmatched
 from .lookalike import lookalikes, same_form
 from .names import class_pairs, mention_classes
 from .packing import fill_report, pack, token_sizes
@@ -19,16 +19,23 @@ from .tokenizer import encode_texts
 FREE = ["city", "brand", "job_title"]
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
+def _free_records(spark: SparkSession, d: str) -> DataFrame:
     labels, answers = table(spark, d, "labels"), table(spark, d, "predictions")
-    records = labels.where(F.col("use_case").isin(FREE)).select(
+    return labels.where(F.col("use_case").isin(FREE)).select(
         F.lit("label").alias("record_kind"), F.col("label_id").alias("record_id"), F.col("use_case").alias("kind"), F.col("value").alias("text")
     ).unionByName(
         answers.where(F.col("use_case").isin(FREE)).select(
             F.lit("prediction").alias("record_kind"), F.col("prediction_id").alias("record_id"), F.col("use_case").alias("kind"), F.col("predicted_value").alias("text")
         )
     )
-    return free_values(records, table(spark, d, "canonical_values"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return free_values(_free_records(spark, d), table(spark, d, "canonical_values"))
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return unmatched(_free_records(spark, d), table(spark, d, "canonical_values"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,5 +90,5 @@ def p9_corpus(spark: SparkSession, d: str) -> DataFrame:
     return clean_corpus(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_forms": p3_forms, "p5_found": p5_found, "p5_classes": p5_classes, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_found": p9_found, "p9_corpus": p9_corpus}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p3_found": p3_found, "p3_forms": p3_forms, "p5_found": p5_found, "p5_classes": p5_classes, "p6_percentiles": p6_percentiles, "p7_ids": p7_ids, "p8_packing": p8_packing, "p8_fill": p8_fill, "p9_found": p9_found, "p9_corpus": p9_corpus}
 SQL: dict[str, str] = {}

@@ -42,6 +42,34 @@ def test_canon_kinds_blocks_and_nulls(spark):
     assert canon.map_to_canon(values, list_, block=4).first().canon_id == 2
 
 
+def test_blocks_give_the_answers_of_one_block(spark, sf):
+    list_ = spark.read.parquet(f"{sf}/canonical_values.parquet")
+    values = spark.read.parquet(f"{sf}/labels.parquet").selectExpr("use_case AS kind", "value AS text", "label_id").unionByName(
+        spark.read.parquet(f"{sf}/predictions.parquet").selectExpr("use_case AS kind", "predicted_value AS text", "prediction_id AS label_id")
+    ).where("kind IN ('city', 'brand', 'job_title')")
+    whole = {(r.kind, r.text, r.label_id): (r.canon_id, r.tied) for r in canon.map_to_canon(values, list_, ties=True).collect()}
+    for block in (100, 300):
+        assert {(r.kind, r.text, r.label_id): (r.canon_id, sorted(r.tied)) for r in canon.map_to_canon(values, list_, block, ties=True).collect()} == whole
+
+
+@pytest.mark.parametrize("n", [30, 64, 300])
+def test_long_lists_keep_their_matches(n):
+    letters = "abcdefghijklmnopqrst"
+    entries = [(i, "city", f"port{letters[i // 20]}{letters[i % 20]}on harbor", None, None) for i in range(n)]
+    m = canon.CanonMatcher(entries)
+    assert [m.match("city", f"harbor port{letters[i // 20]}{letters[i % 20]}on") for i in range(n)] == list(range(n))
+    assert m.match("city", "h portabon") == 1
+
+
+def test_tied_names_are_reported(spark):
+    rows = [(1, "city", "Mirna", ["Old Town"], "Velland"), (2, "city", "Sela", ["Old Town"], "Tarland"), (3, "city", "Bren", ["Sela"], None)]
+    m = canon.CanonMatcher(rows)
+    assert m.match_or_ties("city", "old town") == (-1, [1, 2]) and m.match("city", "Old Town, Tarland") == 2 and m.match("city", "sela") == 2
+    list_ = spark.createDataFrame(rows, "canon_id bigint, kind string, value string, aliases array<string>, country string")
+    records = spark.createDataFrame([("label", 1, "city", "old town"), ("label", 2, "city", "old town"), ("label", 3, "city", "zzz")], "record_kind string, record_id bigint, kind string, text string")
+    assert {r.text: (sorted(r.tied), r.n) for r in canon.unmatched(records, list_).collect()} == {"old town": ([1, 2], 2), "zzz": ([], 1)}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("abcd", max_size=7), st.text("abcd", max_size=7))
 def test_edits(a, b):
