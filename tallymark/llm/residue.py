@@ -1,15 +1,18 @@
 """Documents that are template residue, filler, error pages or script notices.
 
-Placeholders are found by one grammar for each delimiter, outside code: fenced blocks
-and backticked spans are blanked first, and a marker that is quoted and talked about
-(a tutorial sentence) does not count. Filler, errors and notices are judged by density:
-page furniture aside, every sentence has to consist of words of such messages, spelled
-right or one edit off, and the whole needs an anchor that real text would not consist
-of. Real content that quotes or reports a message has sentences of other words.
+Look-alike letters and character references are resolved first. Placeholders are found
+by one grammar for each delimiter, outside code: fenced blocks and backticked spans are
+blanked, and a marker does not count if its sentence is dense with words about templates
+or quotes it and has such a word, or if the text explains the same marker elsewhere.
+Filler, errors and notices are judged by density: page furniture aside, every sentence
+has to consist of words of such messages, spelled right or one edit off (of fixed phrases
+in scripts without spaces), and the whole needs an anchor that real text would not
+consist of. Real content that quotes or reports a message has sentences of other words.
 """
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from functools import lru_cache
 
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.arrowmap import map_batches
 from ..session import spread
+from .lookalike import transducer
 
 # Words that name a slot of a template.
 SLOTS = frozenset(
@@ -52,6 +56,8 @@ _SURE = regex.compile(
     rf"|\*\|\s*{_NAME}\s*\|\*"
     rf"|(?<!#)##{_NAME}##(?!#)"
     rf"|<<\s*{_NAME}\s*>>"
+    rf"|(?<![\w@])@@\s*{_NAME}\s*@@(?![\w@])"
+    rf"|(?<=[\p{{Lu}}]\p{{L}}{{1,14}} )%s(?=[,.:;!? ]|$)"
     rf"|\{{\d\}}",
     regex.I,
 )
@@ -59,10 +65,22 @@ _SURE = regex.compile(
 _MAYBE = regex.compile(
     rf"(?<d>\[\[)\s*(?<n>{_NAME})\s*\]\]|(?<d>\[)\s*(?<n>{_NAME})\s*\]|(?<d>\{{)\s*(?<n>{_NAME})\s*\}}|(?<d><)\s*(?<n>{_NAME})\s*>"
     rf"|(?<d>«)\s*(?<n>{_NAME})\s*»|(?<![\w%])(?<d>%)%?(?<n>{_W}(?:[_.]{_W})*)%(?!\w)|(?<![\w$])(?<d>\$)(?<n>{_W}(?:[_.]{_W})*)\$(?!\w)"
-    rf"|(?<![\w])(?<d>__)(?<n>{_W}(?:_{_W})*)__(?!\w)"
+    rf"|(?<![\w])(?<d>__)(?<n>{_W}(?:_{_W})*)__(?!\w)|(?<![\w@])(?<d>@)(?<n>{_W}(?:[_.]{_W})*)@(?!\w)"
+    rf"|(?<d>\()\s*(?<n>(?i:insert|enter|type|fill in|put|your)\s{_NAME})\s*\)"
 )
 _QUOTED = regex.compile(r"[\"'“‘„]\s*$")
 _TALK = regex.compile(r"\b(?:placeholder|marker|variable|syntax|notation|written as|write|stands for|called|literal|tutorial|guide|handbook|lecture|course)", regex.I)
+#: Words about templates; two of them in its sentence explain a marker.
+_ABOUT = regex.compile(r"\b(?:(placeholder)|(marker)|(variable)|(syntax|notation)|(templat\w* engine|templating|mustache|jinja|handlebars)|(tutorial)|(writ(?:e|es|ing|ten))|(stands? for)|(replac(?:e|es|ed|ing))|(delimiter|braces|brackets)|(render)|(literal)|(escap(?:e|ed|ing)))", regex.I)
+_BREAK = regex.compile(r"[.!?;]\s|\n")
+
+
+def _sentence(text: str, start: int, end: int) -> str:
+    """The sentence around a span, without the span."""
+    head, tail = text[max(0, start - 400) : start], text[end : end + 400]
+    cut = [m.end() for m in _BREAK.finditer(head)]
+    stop = _BREAK.search(tail)
+    return head[cut[-1] if cut else 0 :] + " " + (tail[: stop.start()] if stop else tail)
 
 
 def _fold(text: str) -> str:
@@ -83,11 +101,14 @@ def _is_slot(delimiter: str, name: str) -> bool:
 
 
 def has_placeholder(text: str) -> bool:
-    """Whether a placeholder is left in the text, outside code and quotations about it."""
-    if not any(c in text for c in "{[<%$_«#*"):
+    """Whether a placeholder is left in the text, outside code and explanations of it."""
+    if not any(c in text for c in "{[<%$_«#*@("):
         return False
-    text = _CODE.sub(" ", text)
+    code: list[str] = []
+    text = _CODE.sub(lambda m: code.append(m.group()) or " ", text)
     told: list[tuple[int, int]] = []
+    explained: set[str] = set()
+    left: list[str] = []
     for found in (*_SURE.finditer(text), *_MAYBE.finditer(text)):
         if any(a <= found.start() and found.end() <= b for a, b in told):
             continue
@@ -96,11 +117,18 @@ def has_placeholder(text: str) -> bool:
         if found.group().startswith("<") and f"</{found.group()[1:-1].strip().lower()}" in text.lower():
             continue  # an element of markup that is closed again
         before, after = text[max(0, found.start() - 120) : found.start()], text[found.end() : found.end() + 80]
-        if _QUOTED.search(before) and after[:1] in "\"'”’“" and _TALK.search(before + " " + after):
+        quoted = _QUOTED.search(before) and after[:1] in "\"'”’“" and _TALK.search(before + " " + after)
+        about = _ABOUT.finditer(_sentence(text, *found.span()))
+        if quoted or len({m.lastindex for m in about}) > 1:
             told.append(found.span())
-            continue
-        return True
-    return False
+            explained.add(found.group())
+        else:
+            left.append(found.group())
+    # A text about templates may use a marker bare that it explains or shows as code.
+    if left and (explained or (code and _ABOUT.search(text))):
+        shown = " ".join(code)
+        left = [x for x in left if x not in explained and x not in shown]
+    return bool(left)
 
 
 # Words of default, dummy and keyboard text.
@@ -125,6 +153,8 @@ ERRORS = frozenset(
     "document removed deleted moved requested address exists longer no unable complete your was were is are session expired log login "
     "again please try later slow down retry after seconds minutes whoops oops sorry something went wrong blocked checking that robot human captcha "
     "verify cannot be shown right now asked url site under maintenance html body head title web nginx apache proxy "
+    "name resolved dns probe certificate cert authority invalid ssl empty response redirects aborted closed address changed unreachable internet "
+    "non trovata nao encontrada pagina inexistente "
     "page introuvable erreur serveur acces refuse interdit indisponible pagina encontrada encontrado pudo cargar se la no fehler seite nicht gefunden angeforderte "
     "adresse existiert mehr zugriff verweigert die страница не найдена ошибка доступ запрещен сервер недоступен".split()
 )
@@ -135,10 +165,10 @@ NOTICES = frozenset(
     "bitte aktivieren sie um diese seite zu nutzen veuillez activer pour afficher ce contenu active para continuar habilite habilitar navegador "
     "включите чтобы продолжить браузер файлы".split()
 )
-_GLUE = frozenset("the a an of or and in to for it them we i this that by at as from with on is was be has have not or their les le el los das den y et un une".split())
+_GLUE = frozenset("the a an of or and in to for it them we i this that by at as from with on is was be has have not or their les le el los das den de del di du y et un une".split())
 _ANCHOR = regex.compile(
     r"(?P<s>javascript|scripts?\b|cookies?\b)|(?P<e>\b[45]\d\d\b|error|fehler|erreur|ошибка|not found|не найдена|denied|forbidden|unauthori[sz]ed|unavailable|introuvable|timed? ?out|timeout|"
-    r"gateway|too many requests|traceback|refused|went wrong|expired|blocked|no se pudo|nicht gefunden|failed|rate limit|internal server|\bgone\b|bad request|cannot be shown|removed|maintenance)"
+    r"gateway|too many requests|traceback|refused|went wrong|expired|blocked|no se pudo|no encontrad|non trovata|nao encontrada|nicht gefunden|failed|rate limit|internal server|\bgone\b|bad request|cannot be shown|removed|maintenance)"
     r"|(?P<f>lorem|ipsum|dolor|adipiscing|asdf|qwert|\bfoo\b|\bblah\b|\btest test\b|x{4,}|text text|goes here|coming soon|placeholder|todo|edit me|"
     r"description|ejemplo|escriba|remplissage|blindtext|richtige text|replace this|sample|dummy)"
 )
@@ -146,9 +176,21 @@ _FURNITURE = regex.compile(
     r"(?im)^\s*(?:skip to (?:main )?content|back to (?:start|top)|menu|home|login|help|home(?: \| \w+)+|(?:\(c\)|©)[^\n]{0,40}|cookies? policy|privacy|imprint|search|share|next|previous|\d+)\s*$"
     r"|<!--.*?-->|</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>|&(?:[a-z]+|#\d+);"
 )
-_REFS = regex.compile(r"\b(?=[0-9a-z]*\d)[0-9a-z]{6,}\b|\b\d+(?:\.\d+)*\b|(?<=/)\d[\d.]*", regex.I)
-_SENTENCE = regex.compile(r"(?<=[.!?;:…])\s+|\n+")
+_REFS = regex.compile(r"\b[a-z-]+/\d[\d.]*|\b(?=[0-9a-z]*\d)[0-9a-z]{6,}\b|\b\d+(?:\.\d+)*\b|(?<=/)\d[\d.]*", regex.I)
+_SENTENCE = regex.compile(r"(?<=[.!?;:…])\s+|(?<=[。！？])|\n+")
 _TOKEN = regex.compile(r"\p{L}+")
+# Messages of scripts that are not matched word by word, as error, notice, filler.
+PHRASES = {
+    "e": "ページが見つかりません お探しのページは見つかりません でした エラーが発生しました アクセスが拒否されました サーバーエラー ただいまメンテナンス中です しばらくしてからもう一度お試しください "
+    "找不到页面 页面不存在 页面未找到 您访问的页面不存在 服务器错误 服务器内部错误 访问被拒绝 拒绝访问 出错了 请稍后再试 请求超时 网站维护中 找不到網頁 頁面不存在 伺服器錯誤 拒絕存取 "
+    "페이지를 찾을 수 없습니다 오류가 발생했습니다 접근이 거부되었습니다 잠시 후 다시 시도해 주세요 서버 오류 الصفحة غير موجودة لم يتم العثور على الصفحة حدث خطأ تم رفض الوصول خطأ في الخادم",
+    "s": "を有効にしてください このページを表示するには このサイトを利用するには スクリプトを有効にしてください クッキーを有効にしてください 请启用 请在浏览器中启用 才能继续 以继续 以查看此页面 請啟用 "
+    "을 활성화해 주세요 이 페이지를 보려면 يرجى تفعيل لعرض هذه الصفحة للمتابعة",
+    "f": "ここにテキストを入力 ここにテキストが入ります ダミーテキスト サンプルテキスト テキストテキスト 这里是示例文本 在此输入文字 示例文本 占位符文本 此处填写内容 여기에 텍스트를 입력하세요 샘플 텍스트 نص تجريبي اكتب هنا",
+}
+_WIDE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Arabic}ー"
+_PHRASE = regex.compile("|".join(rf"(?P<{k}>{'|'.join(sorted(map(regex.escape, _fold(v).split()), key=len, reverse=True))})" for k, v in PHRASES.items()))
+_WIDE_RUN = regex.compile(rf"[{_WIDE}]")
 
 
 def _deletes(word: str) -> set[str]:
@@ -180,12 +222,22 @@ def _speech(word: str) -> int:
 def is_no_content(text: str) -> bool:
     """Whether the text, page furniture aside, is filler, an error or a notice."""
     total = good = glue = 0
-    seen = []
+    seen: list[str] = []
+    anchors: set[str] = set()
     for line in text.split("\n"):
         bare = _REFS.sub(lambda m: m.group() if len(m.group()) == 3 and m.group().isdigit() else " ", _FURNITURE.sub(" ", line))
-        for sentence in _SENTENCE.split(_fold(bare)):
-            words = _TOKEN.findall(sentence.replace("_", " "))
-            bits = [_speech(w) for w in words]
+        for sentence in _SENTENCE.split(_fold(bare).replace("_", " ")):
+            phrases = 0
+            if _WIDE_RUN.search(sentence):  # a phrase is a word; other letters of such scripts are words of two
+                found = [m.lastgroup for m in _PHRASE.finditer(sentence)]
+                anchors.update(found)
+                phrases = len(found)
+                sentence = _PHRASE.sub(" ", sentence)
+                strange = -(-len(_WIDE_RUN.findall(sentence)) // 2)
+                sentence = _WIDE_RUN.sub(" ", sentence) + " ※" * strange
+            words = _TOKEN.findall(sentence) + ["※"] * sentence.count("※")
+            bits = [_speech(w) for w in words] + [14] * phrases
+            words += ["…"] * phrases
             hits = len(words) - bits.count(0)
             # A sentence of other words is content, whatever surrounds it.
             if len(words) - hits > max(1 if len(words) > 2 else 0, 0.2 * len(words)):
@@ -197,7 +249,7 @@ def is_no_content(text: str) -> bool:
     if not total or good < 0.85 * total or glue > 0.65 * total:
         return False
     folded = " ".join(seen)
-    return bool(_ANCHOR.search(folded)) or _anchored(folded)
+    return bool(anchors) or bool(_ANCHOR.search(folded)) or _anchored(folded)
 
 
 def _anchored(folded: str) -> bool:
@@ -217,7 +269,10 @@ def is_residue(text: str | None) -> bool:
     """Null, empty and blank texts are none."""
     if not text or text.isspace():
         return False
-    return has_placeholder(text) or is_no_content(text)
+    if "&" in text:
+        text = html.unescape(text)
+    # As typed, for the words of all scripts, and with look-alike letters resolved.
+    return any(has_placeholder(t) or is_no_content(t) for t in dict.fromkeys((text, transducer().apply(text))))
 
 
 def flag_residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,6 +305,16 @@ def residue_ids(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return map_batches(rows, f"key {kind}", make).distinct().withColumnRenamed("key", key)
 
 
-def clean_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without residue; all columns, null and blank texts included."""
-    return docs.join(residue_ids(docs, key, text), key, "left_anti")
+def clean_corpus(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without residue, read once and not moved; all columns and repeated rows,
+    null and blank texts included. Each row is judged by its own text."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    at = docs.columns.index(text)
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pc.invert(pa.array(map(is_residue, batch.column(at).to_pylist()), pa.bool_())))
+
+        return step
+
+    return map_batches(spread(docs), schema, make)

@@ -270,9 +270,9 @@ def test_pack(spark):
 @pytest.mark.parametrize(
     "text,want",
     [
-        ("Dear {{ first_name | upper }}, hello", True), ("Hi [Your Name]!", True), ("Price: $PRICE$", True), ("Hello <Your City>.", True), ("{% order_id %}", True), ("*|EMAIL|*", True), ("[INSERT DATE HERE]", True), ("It costs %PRICE% now", True), ("See «Author Name»", True), ("Contact {0} now", True), ("__TITLE__", True), ("[hier Datum einfügen] [hier City einfügen]", True),
+        ("Dear {{ first_name | upper }}, hello", True), ("Hi [Your Name]!", True), ("Price: $PRICE$", True), ("Dear @@author_name@@, thank you.", True), ("Bonjour (insert city here), merci.", True), ("Welcome to &lt;first_name&gt;, friend.", True), ("Dear %s, hello", True), ("Dear @name@, hello", True), ("Write to me@home.org (your call).", False), ("In Mustache you write {{name}} and it is replaced.", False), ("Template engines replace {{ title }} with text; this tutorial shows how.", False), ("Use `{{city}}` as a marker.\nThen {{city}} is shown.", False), ("Use `{{city}}` as a marker.\nDear {{name}}, hello.", True), ("Hello <Your City>.", True), ("{% order_id %}", True), ("*|EMAIL|*", True), ("[INSERT DATE HERE]", True), ("It costs %PRICE% now", True), ("See «Author Name»", True), ("Contact {0} now", True), ("__TITLE__", True), ("[hier Datum einfügen] [hier City einfügen]", True),
         ("Use `{{name}}` as the marker.", False), ("```\n{{ name }}\n```\nThat renders the page.", False), ('The marker "{{name}}" stands for the recipient.', False), ("It is so [sic] and [12].", False), ("{a, b} and f(x) = {x | x > 2}", False), ("100% of 42% is fun", False), ("__init__ files", False), ("<b>bold</b> kettle", False), ("<title>Fine kettles of the north</title>", False),
-        ("Lorem ipsum dolor sit amet, consectetur adipiscing elit.", True), ("404 Not Found", True), ("Menu\n\nError 66: page not available\n(c) 2025", True), ("Please enable JavaScrpt to view this page.", True), ("foo bar baz foo bar", True), ("Traceback (most recent call last):\n  File \"a.py\", line 3, in load\nTimeoutError: read timed out", True), ('{"error": {"code": 429, "message": "rate limit reached"}}', True), ("Seite nicht gefunden.", True),
+        ("Lorem ipsum dolor sit amet, consectetur adipiscing elit.", True), ("404 Not Found", True), ("Menu\n\nError 66: page not available\n(c) 2025", True), ("Please enable JavaScrpt to view this page.", True), ("foo bar baz foo bar", True), ("Traceback (most recent call last):\n  File \"a.py\", line 3, in load\nTimeoutError: read timed out", True), ('{"error": {"code": 429, "message": "rate limit reached"}}', True), ("Seite nicht gefunden.", True), ("Página no encontrada", True), ("ページが見つかりません。", True), ("找不到页面", True), ("请启用JavaScript以继续。", True), ("페이지를 찾을 수 없습니다.", True), ("編集者は何も言わずに例を読み返した。 ページが見つかりません。", False), ("ERR_CONNECTION_TIMED_OUT", True), ("<h1>400 bad request</h1><hr>wb/68", True), ("Tеxte de remplissage, à compléter.", True),
         ("The review says the shop answered with a 404 page for 3 days, but the kettle is good.", False), ("Lorem ipsum dolor sit amet. The kettle leaks badly and my dog hates it.", False), ("It is fine.", False), ("Never again.", False), ("", False), (" \n", False), (None, False), ("Good kettle. " * 20_000, False),
     ],
 )
@@ -283,7 +283,7 @@ def test_residue_cases(text, want):
 def test_residue_tables(spark):
     df = spark.createDataFrame([(1, "404 Not Found"), (1, "404 Not Found"), (2, "A good kettle."), (3, None), (4, "")], "doc_id bigint, text string").withColumn("residue", F.lit("x")).withColumn("key", F.lit(0))
     assert [r.doc_id for r in residue.residue_ids(df).collect()] == [1]
-    assert sorted(r.doc_id for r in residue.clean_corpus(df).collect()) == [2, 3, 4]
+    assert sorted(r.doc_id for r in residue.clean_corpus(df).collect()) == [2, 3, 4] and residue.clean_corpus(df).columns == df.columns
     assert sum(r.residue for r in residue.flag_residue(df).collect()) == 2
     assert residue.residue_ids(df.limit(0)).count() == 0
 
