@@ -5,7 +5,7 @@ rule, look-alike letters, ligatures, spaces and invisible marks from fixed value
 is checked for conflicts, then a longest-match transducer applies it in one pass over
 grapheme clusters: each cluster (a base with its combining marks) is decomposed, its
 base mapped, and the whole composed again, so that accents survive and their spelling
-no longer matters.
+no longer matters. The half-width voicing marks of kana belong to the cluster before them.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ CYRILLIC = (
     "аa еe оo рp сc уy хx ѕs іi јj һh ӏl ԁd ԛq ԝw ѵv"
 )
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ οo ρp νv ϲc ϳj"
-OTHER = "ɡg օo ոn սu հh"
+OTHER = "ɡg օo ոn սu հh µμ"
+# Half-width voicing marks, which go with the letter before them.
+VOICING = "\uff9e\uff9f"
 # Ligatures that print as their letters; hyphens that print as the ASCII one.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "‐": "-", "‑": "-"}
 # Spaces with a width.
@@ -80,7 +82,7 @@ class Transducer:
             rf"(?P<join>\p{{Extended_Pictographic}}[\p{{M}}\U0001F3FB-\U0001F3FF]*(?:\u200d\p{{Extended_Pictographic}}[\p{{M}}\U0001F3FB-\U0001F3FF]*)+)"
             rf"|(?P<shape>[\p{{Arabic}}\p{{Syriac}}\p{{Mongolian}}\p{{Devanagari}}\p{{Bengali}}\p{{Tamil}}\p{{Telugu}}\p{{Kannada}}\p{{Malayalam}}\p{{Sinhala}}]\p{{M}}*[{joiners}]+(?=[\p{{L}}]))"
             rf"|(?P<void>[{plain}{joiners}]+)"
-            rf"|(?P<mark>[^\x00-\x7f][{plain}{joiners}]*(?:\p{{M}}[{plain}{joiners}]*)*|[\x00-\x7f](?:[{plain}{joiners}]*\p{{M}})+)"
+            rf"|(?P<mark>[^\x00-\x7f][{plain}{joiners}]*(?:[\p{{M}}{VOICING}][{plain}{joiners}]*)*|[\x00-\x7f](?:[{plain}{joiners}]*\p{{M}})+)"
         )
         self.memo: dict[str, str] = {}
 
