@@ -2,13 +2,17 @@
 
 A name is read into a kind (university, hospital for a field, ...), a distinctive core
 and a location; kind words may be abbreviated, translated, initials or mistyped. Cores
-are points of the Levenshtein metric. Per kind, pivots are the most frequent spellings;
-a core within ``COVER`` of a pivot lives in its cell, and by the triangle inequality
-every core within ``RADIUS`` of it is found by replicating cores to the cells of all
-pivots within ``COVER + RADIUS``. Cores without a pivot nearby go on to the next level
-of pivots. Inside a cell the radius join is exact, behind a letter-count lower bound.
-Each spelling then points at the best-ranked spelling in its radius that agrees in field
-and place; following the pointers gives the class.
+and cities are points of the Levenshtein metric. Names are partitioned by kind and place:
+the zip code, and cells around pivot cities. A place with many names is partitioned by
+pivot cores: a core within its cover of a pivot lives in that cell and, by the triangle
+inequality, cores are replicated to the cells of all pivots within cover and radius, so
+that two variants meet in the cell where one of them lives. Cover and radius go by the
+length of the core. Points without a pivot nearby go on to the next level of pivots.
+Inside a cell the radius join is exact, behind a letter-count lower bound.
+
+Variants with one zip code form components. A spelling without one follows its nearest
+variant in its city; without any at its place, the nearest whose place does not
+contradict it. Following the pointers gives the class.
 """
 
 from __future__ import annotations
@@ -18,10 +22,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.arrowmap import map_batches
@@ -29,10 +32,12 @@ from ..session import cut, parts_for
 from .canon import edits, normalise
 from .lookalike import transducer
 
-#: Greatest distance of linked spellings, and of a core and the pivot of its cell.
-RADIUS, COVER = 3, 2
-#: Pivots of one kind at one level; what they leave uncovered goes to the next level.
+#: Greatest distance of linked spellings, of a core and the pivot of its cell, and of one city.
+RADIUS, COVER, CITY_RADIUS = 3, 2, 2
+#: Pivots of one level; what they leave uncovered goes to the next level.
 PIVOTS = 16_384
+#: Spellings of a place that are one cell; more are partitioned by pivots.
+CELL = 256
 #: Members of a class that one join task pairs with another such block.
 BLOCK = 2_000
 
@@ -60,6 +65,8 @@ PARTS = frozenset("department dept departement faculty fac school chair unit div
 FULL = {"sci": "sciences", "tech": "technology", "techn": "technology", "technical": "technology", "gen": "general", "phys": "physics", "med": "medicine", "stud": "studies", "econ": "economics", "card": "cardiology", "agron": "agronomy", "ling": "linguistics", "biol": "biology", "rsch": "research", "res": "research", "science": "science"}
 _KIND_OF = {w: k for k, words in KINDS.items() for w in words.split()}
 _VOCABULARY = sorted({*_KIND_OF, *FIELD_WORDS})
+#: Words of four letters that abbreviate nothing.
+_FULL_SHORT = [w for w in FIELD_WORDS if len(w) == 4 and w not in FULL]
 _FIELDS = ["applied physics", "clinical medicine", "polar studies", "cardiology", "economics", "soil science", "nursing", "agronomy", "linguistics", "marine biology", "public health", "optics"]
 
 
@@ -84,7 +91,7 @@ def _known(token: str) -> str | None:
     if token in _KIND_OF or token in FIELD_WORDS:
         return token
     if len(token) < 4:
-        return "soil" if len(token) == 3 and edits(token, "soil", 1) == 1 else None
+        return next((w for w in _FULL_SHORT if len(token) == 3 and edits(token, w, 1) == 1), None)
     most = 1 if len(token) < 6 else 2 if len(token) < 9 else 3
     best = min(((edits(token, w, most), -len(w), w) for w in _VOCABULARY if len(w) >= 4 and abs(len(w) - len(token)) <= most), default=(9, 0, ""))
     return best[2] if best[0] <= most and best[0] * 3 <= len(best[2]) + 1 else None
@@ -159,6 +166,11 @@ def levenshtein_pairs(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarr
     return out
 
 
+def levenshtein(a: str, b: str) -> int:
+    p = Points([a, b])
+    return int(levenshtein_pairs(p.code[:1], p.size[:1], p.code[1:], p.size[1:])[0])
+
+
 class Points:
     """Strings as padded code points, with unary letter counts for a lower bound."""
 
@@ -178,6 +190,11 @@ class Points:
                 if m <= 4:
                     self.bag[i, 4 * k + m - 1] = 1
 
+    def only(self, at: np.ndarray) -> Points:
+        out = Points([])
+        out.texts, out.size, out.code, out.bag = [self.texts[i] for i in at], self.size[at], self.code[at], self.bag[at]
+        return out
+
     def within(self, at: np.ndarray, other: Points, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of self, row of other, distance) of all pairs within the radius.
 
@@ -211,6 +228,12 @@ def reach(a: int, b: int) -> int:
 
 
 _SPELLING = "sid bigint, kind string, field string, core string, cut_short boolean, n bigint, zip string, city string"
+_NAMES = [c.split()[0] for c in _SPELLING.split(", ")]
+
+
+def _by_length(size: Column, short: int, middle: int, long: int) -> Column:
+    """By the lengths at which ``reach`` changes."""
+    return F.when(size < 5, short).when(size < 8, middle).otherwise(long)
 
 
 def spellings(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -220,140 +243,317 @@ def spellings(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             read = [read_name(x) for x in batch.column(1).to_pylist()]
-            kind, field, core, short = ([r[i] for r in read] for i in range(4))
             zips = [None if z is None or not z.strip() else z.strip() for z in batch.column(2).to_pylist()]
             cities = [None if not c else normalise(c) or None for c in batch.column(3).to_pylist()]
-            columns = [batch.column(0), batch.column(1), *map(pa.array, (kind, field, core))] if read else [batch.column(0), batch.column(1)] + [pa.array([], pa.string())] * 3
-            return pa.RecordBatch.from_arrays([*columns, pa.array(short, pa.bool_()), pa.array(zips, pa.string()), pa.array(cities, pa.string())], schema.replace(" bigint", "").replace(" string", "").replace(" boolean", "").split(", "))
+            columns = [pa.array([r[i] for r in read], pa.string() if i < 3 else pa.bool_()) for i in range(4)]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(zips, pa.string()), pa.array(cities, pa.string())], [c.split()[0] for c in schema.split(", ")])
 
         return step
 
     named = mentions.select("mention_id", "name", "zip", "city").where(F.col("name").isNotNull())
     read = map_batches(named.repartition(parts_for(named), "mention_id").dropDuplicates(["mention_id"]), schema, make)
-    read = cut(read.where(F.col("name").rlike(r"[^\s\p{Z}]")))
-    by = ["kind", "field", "core", "cut_short"]
+    by = ["kind", "field", "core"]
+    read = cut(read.where(F.col("name").rlike(r"[^\s\p{Z}]")).withColumn("sid", F.xxhash64(*by)))
     distinct = (
-        read.groupBy(*by)
-        .agg(F.count("*").alias("n"), F.mode("zip", True).alias("zip"), F.mode("city", True).alias("city"))
-        .withColumn("sid", F.xxhash64(*by))
+        read.groupBy("sid", *by)
+        .agg(F.bool_or("cut_short").alias("cut_short"), F.count("*").alias("n"), F.mode("zip", True).alias("zip"), F.mode("city", True).alias("city"))
     )
-    return read.withColumn("sid", F.xxhash64(*by)), distinct.select("sid", *by, "n", "zip", "city")
+    return read, distinct.select(*_NAMES)
 
 
-def _assign(rest: DataFrame, pivots: dict[str, list[str]]) -> DataFrame:
-    """A row for each spelling and pivot whose cell it visits; ``covered`` if it lives in one."""
-    shared = rest.sparkSession.sparkContext.broadcast(pivots)
-    schema = _SPELLING + ", cell string, covered boolean"
-    names = [c.split()[0] for c in _SPELLING.split(", ")]
+def visits(points: DataFrame, pivots: dict[str, list[str]], schema: str) -> DataFrame:
+    """A row for each point (``schema``, with ``grp, text, radius, cover``) and pivot of its
+    group whose cell it visits, with the distance ``d``; a point out of reach of all pivots
+    has one row without a cell. ``covered`` tells a point that lives in one of the cells."""
+    shared = points.sparkSession.sparkContext.broadcast(pivots)
+    names = [c.split()[0] for c in schema.split(", ")]
+    grp_at, text_at, radius_at, cover_at = (names.index(c) for c in ("grp", "text", "radius", "cover"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points = {}
+        held: dict[str, Points] = {}
         for batch in batches:
-            kinds, cores = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            by_kind = defaultdict(list)
-            for i, k in enumerate(kinds):
-                by_kind[k].append(i)
-            rows, cells, covered = [], [], []
-            for kind, at in by_kind.items():
-                if kind not in points:
-                    points[kind] = Points(shared.value.get(kind, []))
-                own, there = Points([cores[i] for i in at]), points[kind]
-                r, c, d = own.within(np.arange(len(at)), there, COVER + RADIUS)
-                near = np.full(len(at), 99)
-                np.minimum.at(near, r, d)
-                rows += [at[i] for i in r]
-                cells += [there.texts[j] for j in c]
-                covered += list(near[r] <= COVER)
-                lost = np.flatnonzero(near > COVER + RADIUS)
-                rows += [at[i] for i in lost]
+            texts = batch.column(text_at).to_pylist()
+            radius, cover = (batch.column(i).to_numpy(zero_copy_only=False) for i in (radius_at, cover_at))
+            by_group = defaultdict(list)
+            for i, g in enumerate(batch.column(grp_at).to_pylist()):
+                by_group[g].append(i)
+            rows, cells, near, covered = [], [], [], []
+            for grp, at in by_group.items():
+                if grp not in held:
+                    held[grp] = Points(shared.value.get(grp, []))
+                own, there = Points([texts[i] for i in at]), held[grp]
+                at = np.array(at)
+                home = np.zeros(len(at), dtype=bool)
+                seen = np.zeros(len(at), dtype=bool)
+                found = []
+                for reach_ in np.unique(radius[at]):
+                    r, c, d = own.within(np.flatnonzero(radius[at] == reach_), there, int(reach_))
+                    found.append((r, c, d))
+                    seen[r] = True
+                    home[r[d <= cover[at][r]]] = True
+                for r, c, d in found:
+                    rows += at[r].tolist()
+                    cells += [there.texts[j] for j in c]
+                    near += d.tolist()
+                    covered += home[r].tolist()
+                lost = np.flatnonzero(~seen)
+                rows += at[lost].tolist()
                 cells += [None] * len(lost)
+                near += [None] * len(lost)
                 covered += [False] * len(lost)
             picked = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(cells, pa.string()), pa.array(covered, pa.bool_())], [*names, "cell", "covered"])
-
-    return rest.select(*names).mapInArrow(run, schema)
-
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(cells, pa.string()), pa.array(near, pa.int32()), pa.array(covered, pa.bool_())], [*names, "cell", "d", "covered"])
 
-def _agree(a, b, distance: int) -> bool:
-    """Whether spelling ``a`` may be a variant of ``b``: the same field, or none told, and
-    no contradiction of places."""
-    same_place = (a["zip"] is not None and a["zip"] == b["zip"]) or (a["city"] is not None and b["city"] is not None and edits(a["city"], b["city"], 2) <= 2)
-    no_place = a["zip"] is None and a["city"] is None or b["zip"] is None and b["city"] is None
-    if a["field"] != b["field"]:
-        told = set(a["field"].split()), set(b["field"].split())
-        return bool((told[0] <= told[1] or told[1] <= told[0]) and same_place)
-    return distance == 0 or same_place or (no_place and distance <= 1)
+    return points.select(*names).mapInArrow(run, schema + ", cell string, d int, covered boolean")
 
 
-def _link_cells(members: DataFrame) -> DataFrame:
-    """``sid, target``: for each member of a cell the best-ranked one in its radius.
+def metric_cells(points: DataFrame, schema: str) -> DataFrame:
+    """``points`` (``schema``, with ``grp, text, n, radius, cover``) with the ``cell`` of each
+    pivot they visit.
 
-    Members come ranked (a told field, an uncut core, frequency, then the core itself),
-    so each is compared with those before it only, the first of them first.
+    Pivots are the most frequent texts of a group, PIVOTS in all at a level. A text within
+    ``cover`` of a pivot lives in its cell; ``radius`` is how far a text's variants and the
+    pivots of their cells may be, so by the triangle inequality two variants meet in the
+    cell in which one of them lives. Texts without a home go on to the next level.
     """
-    rank = [F.when(F.col("field") == "", 1).otherwise(0), F.col("cut_short").cast("int"), F.desc("n"), "core", "sid"]
-    cells = members.repartition("kind", "cell").sortWithinPartitions("kind", "cell", *rank)
-    names = [c.split()[0] for c in _SPELLING.split(", ")] + ["cell"]
-
-    def link(cell: list[dict]) -> Iterator[tuple[int, int]]:
-        if len(cell) < 2:
-            return
-        points = Points([m["core"] for m in cell])
-        lead = Points([m["core"] for m in cell[:64]])
-        for i in range(0, len(cell), 4096):
-            at = np.arange(i, min(i + 4096, len(cell)))
-            open_ = set(at.tolist())
-            for against, limit in ((lead, 64), (points, len(cell))):
-                if not open_ or (against is points and len(cell) <= 64):
-                    continue
-                r, c, d = points.within(np.array(sorted(open_)), against, RADIUS)
-                for s, t, e in sorted(zip(r.tolist(), c.tolist(), d.tolist())):
-                    if t < s and s in open_:
-                        a, b = cell[s], cell[t]
-                        ok = e <= reach(len(a["core"]), len(b["core"])) or (a["cut_short"] and len(a["core"]) >= 5 and b["core"].startswith(a["core"]))
-                        if ok and _agree(a, b, e):
-                            open_.discard(s)
-                            yield a["sid"], b["sid"]
+    names = [c.split()[0] for c in schema.split(", ")]
+    rest, out = points, None
+    while True:
+        texts = rest.groupBy("grp", "text").agg(F.sum("n").alias("n"))
+        pivots: dict[str, list[str]] = defaultdict(list)
+        for row in texts.orderBy(F.desc("n"), "text", "grp").limit(PIVOTS).collect():
+            pivots[row.grp].append(row.text)
+        if not pivots:
+            return out if out is not None else points.select(*names, F.lit(None).cast("string").alias("cell"))
+        seen = cut(visits(rest.repartition(max(parts_for(rest), 2 * rest.sparkSession.sparkContext.defaultParallelism)), dict(pivots), schema))
+        level = seen.where("cell IS NOT NULL").select(*names, "cell")
+        out = level if out is None else out.unionByName(level)
+        rest = seen.where("NOT covered").select(*names).distinct()
+
+
+def city_cells(spelled: DataFrame) -> DataFrame:
+    """``city, place``: the cells of the places' own metric; two cities within CITY_RADIUS
+    share one."""
+    cities = spelled.where("city IS NOT NULL").groupBy(F.lit("city").alias("grp"), F.col("city").alias("text")).agg(F.sum("n").alias("n"))
+    size = F.length("text")
+    far = F.lit(CITY_RADIUS) + _by_length(size + CITY_RADIUS, 0, 1, COVER)
+    points = cut(cities.select("grp", "text", "n", far.alias("radius"), _by_length(size, 0, 1, COVER).alias("cover")))
+    return metric_cells(points, "grp string, text string, n bigint, radius int, cover int").select(F.col("text").alias("city"), F.concat(F.lit("c"), "cell").alias("place")).distinct()
+
+
+def places(spelled: DataFrame) -> DataFrame:
+    """A row for each spelling, place group it belongs to (its zip code, the cells of its
+    city) and cell of it: a group of more than CELL spellings is partitioned by pivots of
+    its own, a smaller one is one cell."""
+    zips = spelled.where("zip IS NOT NULL").select(*_NAMES, F.concat(F.lit("z"), "zip").alias("place"))
+    cities = spelled.join(city_cells(spelled), "city").select(*_NAMES, "place")
+    rows = cut(zips.unionByName(cities).withColumn("grp", F.concat_ws("|", "kind", "place")))
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("_m"))
+    large = sizes.where(F.col("_m") > CELL).select("grp")
+    small = rows.join(large, "grp", "left_anti").withColumn("cell", F.lit(""))
+    if not large.limit(1).count():
+        return small
+    size = F.length("core")
+    reach_ = F.when(F.col("cut_short"), RADIUS).otherwise(_by_length(size, 1, 2, RADIUS))
+    far = reach_ + _by_length(size + reach_, 0, 1, COVER)
+    points = rows.join(large, "grp", "left_semi").select(*rows.columns, F.col("core").alias("text"), far.alias("radius"), _by_length(size, 0, 1, COVER).alias("cover"))
+    schema = f"{_SPELLING}, place string, grp string, text string, radius int, cover int"
+    return small.unionByName(metric_cells(points, schema).select(*rows.columns, "cell"))
+
+
+def _may(a: dict, b: dict, distance: int) -> bool:
+    """Whether two cores so far apart may be one name."""
+    if distance <= reach(len(a["core"]), len(b["core"])):
+        return True
+    short, long = (a, b) if len(a["core"]) <= len(b["core"]) else (b, a)
+    return short["cut_short"] and len(short["core"]) >= 5 and long["core"].startswith(short["core"])
+
+
+def _same_field(a: dict, b: dict) -> bool:
+    """The same field, or one that tells less of the other."""
+    told = set(a["field"].split()), set(b["field"].split())
+    return told[0] <= told[1] or told[1] <= told[0]
+
+
+def _rank(m: dict) -> tuple:
+    return (m["field"] == "", m["cut_short"], -m["n"], m["core"], m["sid"])
+
+
+def _one_zip(cell: list[dict]) -> Iterator[tuple[int, int, int, bool]]:
+    """Each member with the best one of its component of variants; all share a zip code."""
+    cell = sorted(cell, key=_rank)
+    points, root = Points([m["core"] for m in cell]), np.arange(len(cell))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def pairs(at: np.ndarray, other: np.ndarray) -> None:
+        there = points.only(other)
+        for i in range(0, len(at), 4096):
+            for s, t, e in zip(*points.within(at[i : i + 4096], there, RADIUS)):
+                a, b = int(s), int(other[t])
+                x, y = find(a), find(b)
+                if x != y and _may(cell[a], cell[b], int(e)) and _same_field(cell[a], cell[b]):
+                    root[max(x, y)] = min(x, y)
+
+    everyone = np.arange(len(cell))
+    pairs(everyone, everyone[:64])
+    lead = np.array([find(i) for i in everyone])
+    for x in np.unique(lead):  # pairs of what the first ones leave in different components
+        mine = np.flatnonzero(lead == x)
+        if len(cell) > 64 and 2 * len(mine) <= len(cell):
+            pairs(mine, np.flatnonzero(lead != x))
+    for i in everyone:
+        x = find(int(i))
+        if x != i:
+            yield cell[i]["sid"], cell[x]["sid"], 0, True
+
+
+def _one_city(cell: list[dict]) -> Iterator[tuple[int, int, int, bool]]:
+    """Each member without a zip code with its nearest variant in the same city: one with a
+    zip code, or a better-ranked one."""
+    cell = sorted(cell, key=_rank)
+    open_ = np.array([i for i, m in enumerate(cell) if m["zip"] is None], dtype=np.int64)
+    if not len(open_) or len(cell) < 2:
+        return
+    points = Points([m["core"] for m in cell])
+    near: dict[tuple[str, str], bool] = {}
+    for i in range(0, len(open_), 4096):
+        best: dict[int, tuple] = {}
+        for s, t, e in zip(*points.within(open_[i : i + 4096], points, RADIUS)):
+            s, t, e = int(s), int(t), int(e)
+            a, b = cell[s], cell[t]
+            if s == t or (b["zip"] is None and t > s):
+                continue
+            key = (e, b["zip"] is None, t)
+            if (s not in best or key < best[s]) and _may(a, b, e) and _same_field(a, b):
+                pair = (a["city"], b["city"])
+                if pair not in near:
+                    near[pair] = levenshtein(*pair) <= CITY_RADIUS
+                if near[pair]:
+                    best[s] = key
+        for s, (e, _, t) in best.items():
+            yield cell[s]["sid"], cell[t]["sid"], e, False
+
+
+def link_cells(members: DataFrame) -> DataFrame:
+    """``sid, target, d, strong`` from the exact radius joins inside the cells: strong links
+    join components, of the others each spelling has its nearest."""
+    names = [*_NAMES, "grp", "cell"]
+    cells = members.select(*names, "place").repartition("grp", "cell").sortWithinPartitions("grp", "cell", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, out = [], None, []
+
+        def flush() -> None:
+            if len(held) > 1:
+                out.extend((_one_zip if held[0]["place"].startswith("z") else _one_city)(held))
+
         for batch in batches:
             for row in batch.to_pylist():
-                if (row["kind"], row["cell"]) != key:
-                    out += link(held)
-                    held, key = [], (row["kind"], row["cell"])
-                held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["sid", "target"])
+                if (row["grp"], row["cell"]) != key:
+                    flush()
+                    held, key = [], (row["grp"], row["cell"])
+                if not held or held[-1]["sid"] != row["sid"]:
+                    held.append(row)
+            yield _links(out)
             out = []
-        out += link(held)
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["sid", "target"])
+        flush()
+        yield _links(out)
 
-    return cells.select(*names).mapInArrow(run, "sid bigint, target bigint")
+    return cells.mapInArrow(run, "sid bigint, target bigint, d int, strong boolean")
 
 
-def classes(spelled: DataFrame) -> DataFrame:
-    """``sid, class`` of every spelling; class is the ``sid`` of its best-ranked spelling."""
-    spelled = cut(spelled)
-    rest, links = spelled, None
-    while True:
-        top = Window.partitionBy("kind").orderBy(F.desc("n"), "core")
-        cores = rest.groupBy("kind", "core").agg(F.sum("n").alias("n")).withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= PIVOTS)
+def _links(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = pa.int64(), pa.int64(), pa.int32(), pa.bool_()
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["sid", "target", "d", "strong"])
+
+
+def _placeless(spelled: DataFrame, linked: DataFrame) -> DataFrame:
+    """``sid, target, d``: variants of the spellings without a zip code that no city linked,
+    among those whose place does not contradict theirs because one of them has none. One
+    that is more than an edit off counts only if no other institution is in the radius.
+
+    The cores asked for are the pivots, PIVOTS at a time; each cell is the radius of its pivot.
+    """
+    asked = cut(spelled.where("zip IS NULL").join(linked.select("sid").distinct(), "sid", "left_anti"))
+    cores = asked.groupBy("kind", "core").agg(F.bool_or("cut_short").alias("cut_short"))
+    numbered = cut(cores.withColumn("part", F.pmod(F.xxhash64("kind", "core"), F.ceil(F.lit(asked.count()) / PIVOTS) + F.lit(1))))
+    size = F.length("core")
+    points = spelled.select(*_NAMES, F.col("kind").alias("grp"), F.col("core").alias("text"), _by_length(size, 1, RADIUS, RADIUS).alias("radius"), F.lit(0).alias("cover"))
+    points = points.repartition(max(parts_for(spelled), 2 * spelled.sparkSession.sparkContext.defaultParallelism))
+    found = None
+    for part in [r.part for r in numbered.select("part").distinct().orderBy("part").collect()]:
         pivots: dict[str, list[str]] = defaultdict(list)
-        for row in cores.select("kind", "core").collect():
+        for row in numbered.where(F.col("part") == part).collect():
             pivots[row.kind].append(row.core)
-        if not pivots:
-            break
-        n = max(parts_for(rest), 2 * rest.sparkSession.sparkContext.defaultParallelism)
-        visits = cut(_assign(rest.repartition(n, "sid"), dict(pivots)))
-        found = _link_cells(visits.where(F.col("cell").isNotNull()))
-        links = found if links is None else links.unionByName(found)
-        rest = cut(visits.where(~F.col("covered")).select(*spelled.columns).distinct())
-    if links is None:
-        return spelled.select("sid", F.col("sid").alias("class"))
-    rank = F.struct((F.col("field") != "").alias("f"), (~F.col("cut_short")).alias("u"), "n", "sid")
-    order = spelled.select("sid", rank.alias("rank"))
-    best = links.join(order.withColumnRenamed("sid", "target"), "target").groupBy("sid").agg(F.max_by("target", "rank").alias("target"))
-    up = cut(spelled.select("sid").join(best, "sid", "left").select("sid", F.coalesce("target", "sid").alias("class")))
+        seen = visits(points, dict(pivots), f"{_SPELLING}, grp string, text string, radius int, cover int").where("cell IS NOT NULL").drop("grp", "text", "radius", "cover", "covered")
+        found = seen if found is None else found.unionByName(seen)
+    if found is None:
+        return linked.select("sid", "target", "d").where("false")
+    mine = asked.select(F.col("kind"), F.col("core").alias("cell"), *[F.col(c).alias(f"q_{c}") for c in ("sid", "field", "cut_short", "n", "city")])
+    both = found.join(mine, ["kind", "cell"]).where("sid <> q_sid AND (city IS NULL OR q_city IS NULL)")
+    short = F.least(F.length("core"), F.length("cell"))
+    allowed = _by_length(short, 1, 2, RADIUS)
+    prefix = F.when(F.length("cell") <= F.length("core"), F.col("q_cut_short") & F.col("core").startswith(F.col("cell"))).otherwise(F.col("cut_short") & F.col("cell").startswith(F.col("core"))) & (short >= 5)
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    a, b = words(F.col("field")), words(F.col("q_field"))
+    alike = both.where(((F.col("d") <= allowed) | prefix) & ((F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)))
+    # One swap of neighbours is two edits of the metric: equal letters, equal length.
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    near = (F.col("d") <= 1) | ((F.col("d") == 2) & (letters(F.col("core")) == letters(F.col("cell"))))
+    better = F.col("zip").isNotNull() | (F.struct(F.col("q_field") == "", F.col("q_cut_short"), -F.col("q_n"), F.col("cell"), F.col("q_sid")) > F.struct(F.col("field") == "", F.col("cut_short"), -F.col("n"), F.col("core"), F.col("sid")))
+    others = alike.groupBy("q_sid").agg(F.countDistinct("zip").alias("zips"))
+    ok = alike.join(others, "q_sid").where(better & (near | (F.col("zips") <= 1)))
+    return ok.select(F.col("q_sid").alias("sid"), F.col("sid").alias("target"), "d")
+
+
+def _unread_kinds(spelled: DataFrame) -> DataFrame:
+    """``sid, target, d``: spellings that tell no kind and the one kind and field that has
+    the same core at the same place."""
+    bare = spelled.where("kind = ''").select("core", *[F.col(c).alias(f"q_{c}") for c in ("sid", "zip", "city")])
+    told = spelled.where("kind <> ''")
+    both = told.join(bare, "core").where("(zip = q_zip) OR ((zip IS NULL OR q_zip IS NULL) AND city = q_city)")
+    one = both.groupBy("q_sid").agg(F.countDistinct("kind", "field").alias("k"), F.max_by("sid", F.struct("n", "sid")).alias("target")).where("k = 1")
+    return one.select(F.col("q_sid").alias("sid"), "target", F.lit(0).alias("d"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``sid, class``: the least id of the component of each end of ``edges`` (``sid, target``)."""
+    both = cut(edges.select("sid", "target").unionByName(edges.select(F.col("target").alias("sid"), F.col("sid").alias("target"))).distinct())
+    label = cut(both.groupBy("sid").agg(F.least(F.min("target"), F.min("sid")).alias("class")))
+    while True:
+        seen = both.join(label.select(F.col("sid").alias("target"), F.col("class").alias("c")), "target").groupBy("sid").agg(F.min("c").alias("c"))
+        low = label.join(seen, "sid").select("sid", "class", F.least("class", "c").alias("low"))
+        over = label.select(F.col("sid").alias("low"), F.col("class").alias("next"))
+        new = cut(low.join(over, "low").select("sid", F.least("low", "next").alias("class"), (F.least("low", "next") != F.col("class")).alias("moved")))
+        label = new.select("sid", "class")
+        if not new.where("moved").limit(1).count():
+            return label
+
+
+def classes(spelled: DataFrame) -> DataFrame:
+    """``sid, class`` of every spelling.
+
+    Spellings with one zip code are joined to components; one without follows its nearest
+    variant at its place (ties: with a zip code, then the better ranked), so that it never
+    joins two places. A class is named by one of its spellings.
+    """
+    spelled = cut(spelled)
+    found = cut(link_cells(places(spelled)))
+    strong = found.where("strong").select("sid", "target")
+    weak = found.where("NOT strong").select("sid", "target", "d")
+    open_ = spelled.where("zip IS NULL").select("sid")
+    weak = weak.unionByName(_placeless(spelled, weak)).join(open_, "sid", "left_semi").unionByName(_unread_kinds(spelled))
+    order = spelled.select(F.col("sid").alias("target"), F.struct(F.col("zip").isNull().alias("z"), (F.col("field") == "").alias("f"), "cut_short", (-F.col("n")).alias("m"), "core", "sid").alias("rank"))
+    pick = weak.join(order, "target").groupBy("sid").agg(F.min_by("target", F.struct("d", "rank")).alias("target"))
+    lead = components(strong)
+    up = spelled.select("sid").join(lead, "sid", "left").join(pick, "sid", "left")
+    # What has a zip code stands for its component; the rest follows its nearest.
+    up = cut(up.select("sid", F.coalesce("class", "target", "sid").alias("class")))
     while True:  # pointer jumping: doubles the distance followed each time
         over = up.select(F.col("sid").alias("class"), F.col("class").alias("next"))
         jumped = cut(up.join(over, "class").select("sid", F.col("next").alias("class"), (F.col("next") != F.col("class")).alias("moved")))

@@ -155,14 +155,55 @@ def test_name_classes(spark, monkeypatch):
     base = [(1, "Orvelthas University", "11111", "Mirna"), (2, "University of Orvelthas", "11111", "Mirna"), (3, "Orvelhtas Univ.", None, "Mirna"), (4, "Orvelthas General Hospital", "22222", "Mirna"), (5, "Orvelthas Hospital", "22222", None), (6, "Quembarrid University", "33333", "Sela"), (7, None, None, None), (8, "  ", None, None), (2, "University of Orvelthas", "11111", "Mirna"), (9, "Orvelthas University", "11111", "Mirna")]
     df = spark.createDataFrame(base, "mention_id bigint, name string, zip string, city string").withColumn("class", F.lit(0))
     want = {(1, 2), (1, 3), (2, 3), (2, 9), (3, 9), (4, 5)}
-    for pivots in (names.PIVOTS, 1):  # one pivot a level: many levels, the same links
+    for pivots, cell in ((names.PIVOTS, names.CELL), (1, 1)):  # one pivot a level: many levels, the same links
         monkeypatch.setattr(names, "PIVOTS", pivots)
+        monkeypatch.setattr(names, "CELL", cell)
         monkeypatch.setattr(names, "BLOCK", 2)
         got = {(r.mention_a, r.mention_b) for r in names.class_pairs(names.mention_classes(df)).collect()}
         assert got == want
     assert names.class_pairs(names.mention_classes(df.limit(0))).count() == 0
 
 
+def test_missing_places_and_kinds(spark):
+    rows = [
+        (1, "Drelquaetojeth General Hospital", "24349", "Bren"), (2, "Drlquaetoeth General Hospital", None, None),  # two edits, no place, no rival
+        (3, "Klagusaeltros University", "26604", "Leisuli"), (4, "Klagusaelrtos University", None, None),  # a swap
+        (5, "Quembarrid University", "33333", "Sela"), (6, "Quembarrid", "33333", None), (7, "Quembarrid Hospital", "44444", "Sela"),  # no kind told
+        (8, "Stolgrindax University", "55555", "Mirna"), (9, "Stolgrendix University", "66666", "Mirna"), (10, "Stolgrindix University", None, "Mirna"), (11, "Stolgrandax University", None, None),  # rivals
+    ]
+    df = spark.createDataFrame(rows, "mention_id bigint, name string, zip string, city string")
+    got = {(r.mention_a, r.mention_b) for r in names.class_pairs(names.mention_classes(df)).collect()}
+    assert {(1, 2), (3, 4), (5, 6)} <= got and not got & {(5, 7), (6, 7), (8, 9)}
+    # Between equally near rivals one is chosen, never both.
+    assert len(got & {(8, 10), (9, 10)}) == 1 and got - {(8, 11), (8, 10), (10, 11), (9, 10)} == {(1, 2), (3, 4), (5, 6)}
+
+
+def test_cells_lose_no_link(spark, monkeypatch):
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdeilmnorstu") for _ in range(rng.randint(4, 12))) for _ in range(25)]
+
+    def typo(x):
+        for _ in range(rng.randint(0, 2)):
+            i = rng.randrange(len(x))
+            x = rng.choice([x[:i] + x[i + 1 :], x[:i] + rng.choice("aeioz") + x[i:], x[:i] + rng.choice("aeioz") + x[i + 1 :]])
+        return x or "x"
+
+    rows = []
+    for i in range(400):
+        k = rng.randrange(len(base)) if i % 3 else 0  # one holds a third of all
+        rows.append((i, f"{typo(base[k])} University", rng.choice([f"{10000 + k}", f"{10000 + k}", None]), rng.choice([typo(base[k % 4] + "ville"), None])))
+    df = spark.createDataFrame(rows, "mention_id bigint, name string, zip string, city string")
+    results = []
+    for pivots, cell in ((names.PIVOTS, 10_000), (40, 8)):
+        monkeypatch.setattr(names, "PIVOTS", pivots)
+        monkeypatch.setattr(names, "CELL", cell)
+        groups = {}
+        for r in names.mention_classes(df).collect():
+            groups.setdefault(r["class"], set()).add(r.mention_id)
+        results.append({frozenset(g) for g in groups.values()})
+    assert results[0] == results[1] and max(map(len, results[0])) > 60
+
+
 # 6: percentiles
 
 
