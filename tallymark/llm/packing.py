@@ -1,6 +1,7 @@
 """Vector bin packing of texts into windows of fixed capacity.
 
-Each item has three demands: tokens, one segment, and loss-bearing tokens. A window is
+Each item has three demands: tokens, one segment, and loss-bearing tokens (of instruction
+data, those of the answer). A window is
 filled one item at a time with the item whose demand has the greatest dot product with
 what is left of the window's limits, among those that fit all of them, until none does.
 Only an item longer than the capacity is cut: into pieces that fill a window each, and a
@@ -25,8 +26,8 @@ from .tokenizer import DEFAULT_VOCABULARY, encode_texts
 SHARD_ITEMS = 20_000
 #: Tokens of capacity for each segment that a window may hold.
 TOKENS_PER_SEGMENT = 8
-#: Windows in the list of capacities.
-MAX_WINDOWS = 1_000
+#: Windows that are packed in one pass; more are taken in further passes.
+PASS_WINDOWS = 1_000
 
 
 def fill(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -41,7 +42,7 @@ def fill(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
     left = np.bincount(which, minlength=len(kinds))
     head = np.concatenate(([0], np.cumsum(left)[:-1]))
     out = np.empty(len(demand), dtype=np.int64)
-    scaled = kinds / limits
+    scaled = kinds / np.maximum(limits, 1)
     alive = np.arange(len(kinds))
     window = 0
     while len(alive):
@@ -51,7 +52,7 @@ def fill(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
             if not len(fits):
                 break
             # What is left of each limit weighs its demand; ties go to the larger item.
-            best = fits[int(np.argmax(scaled[fits] @ (room / limits) + 1e-9 * fits / len(kinds)))]
+            best = fits[int(np.argmax(scaled[fits] @ (room / np.maximum(limits, 1)) + 1e-9 * fits / len(kinds)))]
             out[queue[head[best]]] = window
             head[best] += 1
             left[best] -= 1
@@ -73,22 +74,35 @@ def pack(sizes: DataFrame, windows: DataFrame, key: str = "doc_id", shard_items:
     """Assign items (``key, tokens, loss``) to windows of each row of ``windows``.
 
     Columns ``window_id, bin_id, key, piece, start_token, n_tokens``. ``bin_id`` is
-    unique within a window_id. A window takes no more than its ``capacity_tokens``, one
-    segment for each TOKENS_PER_SEGMENT of them, and loss-bearing tokens up to
-    ``capacity_loss`` if that column is there, else up to its capacity. Items without
+    unique within a window_id. A window takes no more than its ``capacity_tokens``, than
+    ``capacity_segments`` segments (one for each TOKENS_PER_SEGMENT of its tokens if that is
+    null or no column) and than ``capacity_loss`` loss-bearing tokens (its tokens likewise).
+    Of a single item with more loss than fits, only what fits is counted. Items without
     tokens, or of null size, take no room: they are listed with a null bin. Capacities
     below 1 raise. Equal sizes and repeated keys are items of their own.
     """
-    has_loss = "capacity_loss" in windows.columns
-    rows = windows.select("window_id", "capacity_tokens", *(["capacity_loss"] if has_loss else [])).distinct().limit(MAX_WINDOWS + 1).collect()
-    if len(rows) > MAX_WINDOWS:
-        raise ValueError(f"more than {MAX_WINDOWS} windows")
+    optional = [c for c in ("capacity_segments", "capacity_loss") if c in windows.columns]
+    rows = windows.select("window_id", "capacity_tokens", *optional).distinct().orderBy("window_id").collect()
     if any(r.capacity_tokens is None or r.capacity_tokens < 1 for r in rows):
         raise ValueError("capacities must be positive")
-    limits = {r.window_id: (int(r.capacity_tokens), max(1, int(r.capacity_tokens) // TOKENS_PER_SEGMENT), int(r.capacity_loss if has_loss and r.capacity_loss is not None else r.capacity_tokens)) for r in rows}
+
+    def limit(r, name: str, otherwise: int) -> int:
+        return int(r[name]) if name in optional and r[name] is not None else otherwise
+
+    every = {r.window_id: (int(r.capacity_tokens), max(1, limit(r, "capacity_segments", r.capacity_tokens // TOKENS_PER_SEGMENT)), max(0, limit(r, "capacity_loss", r.capacity_tokens))) for r in rows}
     kind = dict(sizes.dtypes)[key]
     sizes = cut(sizes.select(F.col(key).alias("key"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"), F.coalesce("loss", F.lit(0)).cast("bigint").alias("loss")))
     shards = max(1, -(-sizes.count() // shard_items))
+    ids = sorted(every)
+    passes = [{w: every[w] for w in ids[i : i + PASS_WINDOWS]} for i in range(0, max(1, len(ids)), PASS_WINDOWS)]
+    out = None
+    for limits in passes:
+        part = _pack_pass(sizes, limits, shards, kind)
+        out = part if out is None else out.unionByName(part)
+    return out.withColumnRenamed("key", key)
+
+
+def _pack_pass(sizes: DataFrame, limits: dict[int, tuple[int, int, int]], shards: int, kind: str) -> DataFrame:
     choice = F.array(*[F.struct(F.lit(w).cast("int").alias("window_id"), F.lit(c[0]).cast("bigint").alias("cap")) for w, c in sorted(limits.items())])
     items = (
         sizes.where("tokens > 0")
@@ -138,7 +152,7 @@ def pack(sizes: DataFrame, windows: DataFrame, key: str = "doc_id", shard_items:
         .withColumn("w", F.explode(choice if limits else F.expr("CAST(array() AS ARRAY<STRUCT<window_id: INT, cap: BIGINT>>)")))
         .select(F.col("w.window_id").alias("window_id"), F.lit(None).cast("bigint").alias("bin_id"), "key", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start_token"), F.lit(0).cast("bigint").alias("n_tokens"))
     )
-    return packed.unionByName(empty).withColumnRenamed("key", key)
+    return packed.unionByName(empty)
 
 
 def fill_report(packed: DataFrame, windows: DataFrame) -> DataFrame:
@@ -147,3 +161,14 @@ def fill_report(packed: DataFrame, windows: DataFrame) -> DataFrame:
     return used.join(windows.select("window_id", "capacity_tokens").distinct(), "window_id").select(
         "window_id", "capacity_tokens", "bins", "tokens", (1 - F.col("tokens") / (F.col("bins") * F.col("capacity_tokens"))).alias("unused_share")
     )
+
+
+def instruction_sizes(docs: DataFrame, answers: DataFrame, key: str = "doc_id", path: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """``key, tokens, loss`` of documents (``key, text``) followed by their answers (``key,
+    answer``): the answer's tokens bear loss. A document without an answer bears none; one
+    with several counts once for each."""
+    prompt = token_sizes(docs, key, "text", path).select(key, F.col("tokens").alias("_p"))
+    numbered = answers.select(key, "answer").withColumn("_id", F.struct(key, F.monotonically_increasing_id()))
+    reply = token_sizes(numbered, "_id", "answer", path).select(F.col(f"_id.{key}").alias(key), F.col("tokens").alias("_a"))
+    both = prompt.join(reply, key, "left")
+    return both.select(key, (F.col("_p") + F.coalesce("_a", F.lit(0))).alias("tokens"), F.coalesce("_a", F.lit(0)).cast("bigint").alias("loss"))

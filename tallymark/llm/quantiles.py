@@ -232,3 +232,21 @@ def day_and_model_percentiles(predictions: DataFrame, measures: list[str], faile
     by_model = percentiles(models, ["model"], ps).withColumn("level", F.lit("model")).withColumn("day", F.lit(None).cast("date"))
     columns = ["level", "model", "day", "measure", "p", "value", "n", "rank_error"]
     return by_day.select(*columns).unionByName(by_model.select(*columns))
+
+
+def rank_checks(found: DataFrame, predictions: DataFrame, measures: list[str], failed: dict[str, float], eps: float = EPS) -> DataFrame:
+    """``model, measure, p, n, within`` of the answers at level model: whether the ranks that
+    the value truly holds come within ``rank_error`` of the target, and that within the bound."""
+    asked = found.where("level = 'model'").select("model", "measure", "p", "value", F.col("n").alias("told"), "rank_error")
+    rows = predictions.select("prediction_id", "model", *measures).dropDuplicates(["prediction_id"])
+    clean = [F.struct(F.lit(m).alias("measure"), (F.when(F.col(m) != failed[m], F.col(m)) if m in failed else F.col(m)).alias("x")) for m in measures]
+    values = rows.select("model", F.explode(F.array(*clean)).alias("v")).select("model", "v.*").where("x IS NOT NULL AND NOT isnan(x)")
+    counted = values.groupBy("model", "measure", "x").agg(F.count("*").alias("c"))
+    at = counted.withColumnRenamed("model", "_m").withColumnRenamed("measure", "_k")
+    both = asked.join(at, F.col("model").eqNullSafe(F.col("_m")) & (F.col("measure") == F.col("_k")))
+    n, below, upto = F.sum("c"), F.sum(F.when(F.col("x") < F.col("value"), F.col("c")).otherwise(0)), F.sum(F.when(F.col("x") <= F.col("value"), F.col("c")).otherwise(0))
+    ranks = both.groupBy("model", "measure", "p", "value", "told", "rank_error").agg(n.alias("n"), below.alias("below"), upto.alias("upto"))
+    target = F.least(F.col("n"), F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("n") - 1e-9)))
+    off = F.greatest(F.col("below") + 1 - target, target - F.col("upto"), F.lit(0))
+    within = (F.col("told") == F.col("n")) & (off <= F.col("rank_error")) & (F.col("rank_error") <= F.greatest(F.lit(1.0), eps * F.col("n")))
+    return ranks.select("model", "measure", "p", "n", within.alias("within"))

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import json
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.arrowmap import map_batches
@@ -44,10 +45,11 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class PrefixBpe:
-    def __init__(self, path: str = DEFAULT_VOCABULARY):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab = model["vocab"]
+    """Of the JSON text of a byte-level BPE vocabulary."""
+
+    def __init__(self, text: str):
+        model = json.loads(text)["model"]
+        vocab = self.vocab = model["vocab"]
         self.alphabet = byte_alphabet()
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.halves: dict[int, tuple[int, int]] = {}
@@ -67,6 +69,7 @@ class PrefixBpe:
             self.rank[vocab[letter]] = -1
         self.automaton.make_automaton()
         self.split = regex.compile(PRE_TOKEN).findall
+        self.letters: dict[int, str] = {}
         self.memo: dict[str, list[int]] = {}
         self.allowed: dict[tuple[int, int], bool] = {}
 
@@ -120,6 +123,13 @@ class PrefixBpe:
             at = back[at]
         return ids[::-1]
 
+    def decode(self, ids: list[int]) -> str:
+        """The text of its ids."""
+        if not self.letters:
+            self.letters.update({i: t for t, i in self.vocab.items()})
+        back = {c: b for b, c in self.alphabet.items()}
+        return bytes(back[c] for i in ids for c in self.letters[i]).decode("utf-8", "surrogatepass")
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; a null or empty text has none."""
         if not text:
@@ -139,8 +149,26 @@ class PrefixBpe:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str = DEFAULT_VOCABULARY) -> PrefixBpe:
-    """One automaton for each worker process and vocabulary."""
-    return PrefixBpe(path)
+    """Of a file on this machine."""
+    with open(path, encoding="utf-8") as f:
+        return PrefixBpe(f.read())
+
+
+_HELD: dict[str, PrefixBpe] = {}
+
+
+def shipped(spark: SparkSession, path: str) -> Callable[[], PrefixBpe]:
+    """Gets the tokenizer in a worker, one for each process. The driver reads the file and
+    broadcasts its text, some megabytes, so the machines of the executors need none."""
+    with open(path, encoding="utf-8") as f:
+        text = spark.sparkContext.broadcast(f.read())
+
+    def get() -> PrefixBpe:
+        if path not in _HELD:
+            _HELD[path] = PrefixBpe(text.value)
+        return _HELD[path]
+
+    return get
 
 
 def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -151,8 +179,10 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     """
     kind = dict(docs.dtypes)[key]
 
+    ship = shipped(docs.sparkSession, path)
+
     def make():
-        encode = tokenizer(path).encode
+        encode = ship().encode
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             flat, ends = array("i"), array("i", [0])
@@ -166,3 +196,20 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
 
     pairs = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     return map_batches(pairs, f"key {kind}, ids array<int>", make).withColumnRenamed("key", key)
+
+
+def decode_ids(encoded: DataFrame, key: str = "doc_id", path: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """``key`` and ``text`` of ``key, ids``: encoding undone. A null list has a null text."""
+    kind = dict(encoded.dtypes)[key]
+    ship = shipped(encoded.sparkSession, path)
+
+    def make():
+        decode = ship().decode
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = [None if ids is None else decode(ids) for ids in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "text"])
+
+        return step
+
+    return map_batches(encoded.select(F.col(key).alias("key"), "ids"), f"key {kind}, text string", make).withColumnRenamed("key", key)

@@ -258,6 +258,7 @@ def test_ids_equal_the_library():
     texts = ["", " ", "Hello  world", "<|endoftext|>", "a" * 3000, "é漢\U0001f468‍\U0001f469", "it's 12,345\n\n\tx"] + ["".join(rng.choice("aeiou thnrs019'\n\té漢😀-_") for _ in range(rng.randint(1, 50))) for _ in range(3000)]
     for t in texts:
         assert ours.encode(t) == theirs.encode(t, add_special_tokens=False).ids
+        assert ours.decode(ours.encode(t)) == t
     assert ours.encode(None) == []
 
 
@@ -267,6 +268,8 @@ def test_encode_texts(spark):
     got = [(r.doc_id, r.ids) for r in tokenizer.encode_texts(df).collect()]
     assert len(got) == 5 and (1, []) in got and (2, []) in got and (3, [15496]) in got
     assert tokenizer.encode_texts(df.limit(0)).count() == 0
+    back = spark.createDataFrame([(1, [15496]), (2, []), (3, None)], "doc_id bigint, ids array<int>")
+    assert {r.doc_id: r.text for r in tokenizer.decode_ids(back).collect()} == {1: "Hello", 2: "", 3: None}
 
 
 # 8: packing
@@ -305,6 +308,26 @@ def test_pack(spark):
         packing.pack(sizes, spark.createDataFrame([(1, 0)], "window_id int, capacity_tokens int"))
 
 
+def test_pack_limits_bind(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PASS_WINDOWS", 1)
+    sizes = spark.createDataFrame([(i, 10, i % 5) for i in range(50)] + [(99, 10, 300)], "doc_id bigint, tokens bigint, loss bigint")
+    windows = spark.createDataFrame([(1, 100, 3, None), (2, 100, None, 7), (3, 100, 3, 7)], "window_id int, capacity_tokens int, capacity_segments int, capacity_loss int")
+    loss = {i: i % 5 for i in range(50)} | {99: 7}
+    load = {}
+    for r in packing.pack(sizes, windows).collect():
+        load.setdefault((r.window_id, r.bin_id), []).append(r.doc_id)
+    for (w, _), docs in load.items():
+        assert len(docs) <= (3 if w != 2 else 10) and (w == 1 or sum(loss[i] for i in docs) <= 7)
+    assert sorted(i for (w, _), docs in load.items() if w == 3 for i in docs) == [*range(50), 99]
+
+
+@needs_vocabulary
+def test_instruction_sizes(spark):
+    docs = spark.createDataFrame([(1, "Hello"), (2, None), (3, "Hello world")], "doc_id bigint, text string")
+    answers = spark.createDataFrame([(1, "Hello"), (1, "x"), (2, None)], "doc_id bigint, answer string")
+    assert sorted(tuple(r) for r in packing.instruction_sizes(docs, answers).collect()) == [(1, 2, 1), (1, 2, 1), (2, 0, 0), (3, 2, 0)]
+
+
 # 9: residue
 
 
