@@ -141,10 +141,19 @@ def field_metrics(nodes: DataFrame, by: list[str]) -> DataFrame:
     mean of their nodes'."""
     field = F.regexp_replace(F.regexp_replace("path", r"\[\d+\]", ""), r"^root\.?", "")
     field = F.when(field == "", F.when(F.col("metric").startswith("list"), "[*]").otherwise("[root]")).otherwise(field)
-    s = nodes.withColumn("field", field).groupBy(*by, "field").agg(
-        F.count("*").alias("n"), F.sum("score").alias("score_sum"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
-        F.avg("precision").alias("_p"), F.avg("recall").alias("_r"), F.min_by("weight", F.when(F.col("weight") != 0, F.col("path"))).alias("weight"),
-        F.min_by("metric", F.when(~F.col("metric").isin("missing_field", "unexpected_field", "optional_missing_both"), F.col("path"))).alias("metric"),
+    compared = ~F.col("metric").isin("missing_field", "unexpected_field", "optional_missing_both")
+    one = nodes.select(
+        *by, field.alias("field"), F.lit(1).cast("bigint").alias("n"), "score", "tp", "fp", "fn", "precision", "recall",
+        F.when(F.col("weight") != 0, F.col("path")).alias("weight_at"), "weight", F.when(compared, F.concat(F.when(F.col("metric") == "text", "~").otherwise(""), "path")).alias("metric_at"), "metric",
+    )
+    return sum_fields(one, by)
+
+
+def sum_fields(parts: DataFrame, by: list[str]) -> DataFrame:
+    """The field metrics of partial sums, such as those of ``scoring.score_fields``."""
+    s = parts.groupBy(*by, "field").agg(
+        F.sum("n").alias("n"), F.sum("score").alias("score_sum"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
+        (F.sum("precision") / F.sum("n")).alias("_p"), (F.sum("recall") / F.sum("n")).alias("_r"), F.min(F.when(F.col("weight_at").isNotNull(), F.struct("weight_at", "weight")))["weight"].alias("weight"), F.min(F.when(F.col("metric_at").isNotNull(), F.struct("metric_at", "metric")))["metric"].alias("metric"),
     )
     macro = F.col("metric").startswith("agg:") | (F.col("metric") == "object")
     micro_p = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)

@@ -106,3 +106,80 @@ def test_score_columns_equals_tree(spark):
     df = spark.createDataFrame(rows, "e string, a string")
     for r in df.select("e", "a", score_columns(F.col("e"), F.col("a"), config).alias("s")).collect():
         assert r.s == pytest.approx(JsonScorer(config).score(json.loads(r.e), json.loads(r.a))[0]["score"]), r
+
+
+def test_object_members_and_unknown_metrics():
+    nodes = JsonScorer(FieldConfig("object", fields={"a": FieldConfig()})).score({"a": 1, "b": {"c": 1}}, {"a": 1, "b": {"c": 2}})
+    assert [n["path"] for n in nodes] == ["root", "root.a", "root.b"] and nodes[2]["metric"] == "exact" and nodes[2]["score"] == 0.0
+    assert (nodes[0]["tp"], nodes[0]["fp"], nodes[0]["fn"]) == (0, 0, 0)
+    for config in (FieldConfig(metric="nearly"), FieldConfig(metric="llm"), FieldConfig(metric="embedding"), FieldConfig(metric="text_similarity", params={"metric": "cosine"}), FieldConfig(metric="text_similarity", params={"metric": "vibes"}), FieldConfig(metric="comparator", params={"element_compare": "mind"})):
+        with pytest.raises(ValueError):
+            JsonScorer(config)
+    mine = FieldConfig("list", item=FieldConfig(metric="mine"))
+    with pytest.raises(ValueError):
+        JsonScorer(mine, {"mine": lambda e, a, p: True})
+    mine.allow_expensive = ["$item"]
+    assert JsonScorer(mine, {"mine": lambda e, a, p: True}).score([1], [2])[0]["score"] == 1.0
+
+
+@pytest.mark.parametrize(
+    "params,pair,want",
+    [
+        ({}, ("Ab ", "ab"), (1.0, True)), ({"case_sensitive": True}, ("Ab", "ab"), (0.0, False)), ({"element_compare": "text_similarity"}, ("abcd", "abce"), (0.75, True)),
+        ({"element_compare": "text_similarity", "text_similarity_threshold": 0.8}, ("abcd", "abce"), (0.0, False)), ({"element_compare": "text_similarity", "comparison_threshold": 0.8}, ("abcd", "abce"), (0.75, False)),
+        ({"element_compare": "text_similarity", "text_similarity_metric": "bleu"}, ("x", " X"), (1.0, True)), ({"element_compare": "text_similarity", "text_similarity_metric": "gleu"}, ("a b", "a c"), (1 / 3, True)),
+    ],
+)
+def test_comparator(params, pair, want):
+    n = JsonScorer(FieldConfig(metric="comparator", params=params)).score(*pair)[0]
+    assert (pytest.approx(n["score"]), n["is_correct"]) == want
+
+
+def test_partial_sums_are_the_nodes_sums(spark):
+    from tallymark.operators import metrics
+    from tallymark.operators.scoring import score_fields
+
+    item = FieldConfig("object", fields={"n": FieldConfig(weight=2), "t": FieldConfig()})
+    scorer = JsonScorer(FieldConfig("object", fields={"l": FieldConfig("list", item=item), "s": FieldConfig()}))
+    rows = [("m" if i % 3 else None, json.dumps({"l": [{"n": j, "t": i} for j in range(i % 4)], "s": i}), json.dumps({"l": [{"n": j, "t": 3} for j in range(3)], "s": 5}) if i % 5 else "broken") for i in range(40)]
+    df = spark.createDataFrame(rows, "model string, e string, a string")
+    nodes = score_json(df, "e", "a", scorer).select("model", F.explode("result").alias("x")).select("model", "x.*")
+    flat = lambda x: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in x.collect()), key=repr)
+    assert flat(metrics.field_metrics(nodes, ["model"])) == flat(metrics.sum_fields(score_fields(df, ["model"], "e", "a", scorer), ["model"]))
+
+
+VECTORS = {"a": [1.0, 0.0], "a2": [0.9, 0.1], "b": [0.0, 1.0], "b2": [0.1, 0.9], "far": [-1.0, 0.0]}
+
+
+def test_judged_and_embedded(spark, tmp_path):
+    from tallymark.operators.external import score_external
+    from tallymark.operators.scoring import judge_models
+
+    log = tmp_path / "asked"
+
+    def embed(model, texts):
+        with open(log, "a") as f:
+            f.writelines(f"embed {t}\n" for t in texts)
+        return [VECTORS[t] for t in texts], 0.5 * len(texts)
+
+    def judge(model, prompt):
+        with open(log, "a") as f:
+            f.write("judge\n")
+        return "yes" in prompt, 0.25
+
+    pairs = spark.createDataFrame([(1, '["a", "b"]', '["b2", "a2"]'), (2, '["a"]', '["far"]'), (3, "[]", "[]"), (4, "[]", '["a"]'), (5, "no json", "x"), (6, '["a"]', '["unknown"]')], "id int, e string, a string")
+    near = FieldConfig.parse({"type": "list", "metric_config": {"allow_expensive_comparisons_for": ["$item"], "item_logic": {"type": "leaf", "metric_config": {"metric": "embedding", "params": {"threshold": 0.5}}}}})
+    scored, answers = score_external(pairs, "id", "e", "a", near, embed=embed)
+    got = {r.id: r.result[0] for r in scored.collect()}
+    assert (got[1].score, got[1].metric, got[1].tp) == (1.0, "list_aligned_f1", 2) and got[2].tp == 0 and got[3].score == 1.0 and got[4].score == 0.0
+    assert got[5].metric == "text" and got[6].metric == "text"
+    asked = len(log.read_text().splitlines())
+    again, _ = score_external(pairs.where("id < 6"), "id", "e", "a", near, embed=embed, answers=answers)
+    assert again.where("result[0].score = 1").count() == 2 and len(log.read_text().splitlines()) == asked
+    asks = FieldConfig("object", fields={"v": FieldConfig(metric="llm", params={"model": "j", "prompt_template": "{expected}/{predicted}/{who}", "template_vars": {"who": "me"}})})
+    assert judge_models(asks) == ["j"]
+    rows = spark.createDataFrame([(1, '{"v": "yes"}', '{"v": "q"}'), (2, '{"v": "yes"}', '{"v": "q"}'), (3, '{"v": "no"}', '{"v": "q"}'), (4, '{"v": "no"}', "{}")], "id int, e string, a string")
+    scored, answers = score_external(rows, "id", "e", "a", asks, judge=judge)
+    got = {r.id: (r.result[0].score, r.result[0].cost) for r in scored.collect()}
+    assert got == {1: (1.0, 0.25), 2: (1.0, 0.25), 3: (0.0, 0.25), 4: (0.0, 0.0)} and log.read_text().count("judge") == 2
+    assert answers.select("text").distinct().count() == 2
