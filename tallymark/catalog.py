@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import cost, similarity, text
 from .operators import drift, extraction, joins, metrics, nested, sampling
-from .operators.scoring import FieldConfig, JsonScorer, infer_config, score_columns, score_json
+from .operators.scoring import FieldConfig, JsonScorer, infer_config, score_columns, score_fields, score_json
 from .plans import providers
 from .session import table
 from .streaming.progress import progress
@@ -34,8 +34,9 @@ FACTS = [
 
 
 def predictions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Each prediction once, with the given columns."""
-    return table(spark, d, "predictions").select("prediction_id", *[c for c in columns or FACTS if c != "prediction_id"]).distinct()
+    """Each prediction once, with the given columns; long texts are no keys of the shuffle."""
+    rows = table(spark, d, "predictions").select("prediction_id", *[c for c in columns or FACTS if c != "prediction_id"])
+    return rows.dropDuplicates(["prediction_id"]) if {"predicted_value", "expected_value"} & set(rows.columns) else rows.distinct()
 
 
 def _p(*columns: str) -> str:
@@ -46,16 +47,17 @@ def _clean(c: str) -> str:
     return f"CASE WHEN isnan({c}) OR {c} < 0 THEN NULL ELSE {c} END"
 
 
-def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def _rounded(df: DataFrame, places: int = 6, nudge: float = 0.0) -> DataFrame:
+    """With rounded doubles; ``nudge`` takes sums, whose last bits depend on their order, off the halves."""
+    return df.select(*[F.round(F.col(c) + F.lit(nudge), places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 _METRICS = f"""
 SELECT model, count(*) AS predictions, count(*) FILTER (WHERE is_correct) AS correct,
-  round(count(*) FILTER (WHERE is_correct) / count(*), 6) AS accuracy, round(avg(s), 6) AS average_score,
-  round(sum(l), 6) AS total_llm_cost, round(sum(e), 6) AS total_evaluation_cost,
-  round(coalesce(sum(l), 0) + coalesce(sum(e), 0), 6) AS total_cost,
-  round(sum(t), 6) AS total_time, round(avg(t), 6) AS average_time, round(avg(l), 6) AS average_cost
+  round(count(*) FILTER (WHERE is_correct) / count(*) + 1e-10, 6) AS accuracy, round(avg(s) + 1e-10, 6) AS average_score,
+  round(sum(l) + 1e-10, 6) AS total_llm_cost, round(sum(e) + 1e-10, 6) AS total_evaluation_cost,
+  round(coalesce(sum(l), 0) + coalesce(sum(e), 0) + 1e-10, 6) AS total_cost,
+  round(sum(t) + 1e-10, 6) AS total_time, round(avg(t) + 1e-10, 6) AS average_time, round(avg(l) + 1e-10, 6) AS average_cost
 FROM (SELECT model, is_correct, {_clean('example_score')} AS s, {_clean('llm_cost')} AS l, {_clean('evaluation_cost')} AS e, {_clean('response_time')} AS t
   FROM {_p('model', 'is_correct', 'example_score', 'llm_cost', 'evaluation_cost', 'response_time')})
 GROUP BY model"""
@@ -63,7 +65,7 @@ GROUP BY model"""
 
 @query(_METRICS)
 def model_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.model_metrics(predictions(spark, d, "model", "is_correct", "example_score", "llm_cost", "evaluation_cost", "response_time")))
+    return _rounded(metrics.model_metrics(predictions(spark, d, "model", "is_correct", "example_score", "llm_cost", "evaluation_cost", "response_time")), nudge=1e-10)
 
 
 @query(f"""
@@ -76,6 +78,14 @@ def best_models(spark: SparkSession, d: str) -> DataFrame:
     return metrics.best_models(model_metrics(spark, d))
 
 
+# White space of any kind, for SQL's trim.
+_WS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def _strip(c: str) -> str:
+    return f"trim({c}, '{_WS}')"
+
+
 _LABEL = "(SELECT * FROM (SELECT DISTINCT ON (label_id) * FROM labels) QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY labelled_at DESC, label_id DESC) = 1)"
 
 
@@ -91,8 +101,8 @@ def labelled_documents(spark: SparkSession, d: str) -> DataFrame:
     return joins.labelled(docs, labels, "document_id").select("doc_id", "use_case", "label", "n_chars")
 
 
-@query(f"""SELECT prediction_id, (lower(trim(predicted_value, e' \\t\\n\\r')) = lower(trim(expected_value, e' \\t\\n\\r')))::DOUBLE AS score
-FROM {_p('predicted_value', 'expected_value', 'use_case')} WHERE use_case IN ('topic', 'sentiment') AND regexp_full_match(coalesce(predicted_value, '') || coalesce(expected_value, ''), '[\\x01-\\x7f]*')""")
+@query(f"""SELECT prediction_id, (lower({_strip('predicted_value')}) = lower({_strip('expected_value')}))::DOUBLE AS score
+FROM {_p('predicted_value', 'expected_value', 'use_case')} WHERE use_case IN ('topic', 'sentiment')""")
 def equality_scores(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d, "predicted_value", "expected_value", "use_case").where("use_case IN ('topic', 'sentiment')")
     return p.select("prediction_id", text.equal_score(F.col("predicted_value"), F.col("expected_value")).alias("score"))
@@ -102,7 +112,7 @@ _RATE = "CASE WHEN contains(lower(model), 'llama') THEN CASE WHEN TRY_CAST(regex
 
 
 @query(f"""SELECT prediction_id, round(CASE WHEN llm_cost = 0 THEN {_RATE} * t / 3600 ELSE llm_cost END, 9) AS cost, round(2.5 * t / 1800, 9) AS cost_at_rate
-FROM (SELECT prediction_id, model, llm_cost, {_clean('response_time')} AS t FROM {_p('model', 'llm_cost', 'response_time')} WHERE NOT coalesce(isnan(llm_cost), false))""")
+FROM (SELECT prediction_id, model, llm_cost, {_clean('response_time')} AS t FROM (SELECT prediction_id, model, response_time, {_clean('llm_cost')} AS llm_cost FROM {_p('model', 'llm_cost', 'response_time')}))""")
 def effective_costs(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d, "model", "llm_cost", "response_time").withColumn("t", metrics.measured("response_time")).withColumn("llm_cost", metrics.measured("llm_cost"))
     own = cost.effective_cost(F.col("llm_cost"), F.col("model"), F.col("t"))
@@ -140,9 +150,16 @@ def cost_spread(spark: SparkSession, d: str) -> DataFrame:
     return sampling.cost_spread(priced, top.name, 5).withColumn("cost", F.round(F.col("cost") * 1000000, 6))
 
 
-@query()
+@query(f"""
+WITH v AS (SELECT model, {_clean('response_time')} AS x FROM {_p('model', 'response_time')}), c AS (SELECT * FROM v WHERE x IS NOT NULL),
+s AS (SELECT min(x) AS lo, max(x) AS hi, CASE WHEN max(x) > min(x) THEN (max(x) - min(x)) / 10 ELSE 1 END AS raw FROM c),
+w AS (SELECT lo, hi, (SELECT min(m * pow(10, floor(log10(raw)))) FROM (SELECT unnest([1, 2, 5, 10]) AS m) WHERE m * pow(10, floor(log10(raw))) >= raw * (1 - 1e-12)) AS width FROM s),
+e AS (SELECT width, floor(lo / width + 1e-9) * width AS start, greatest(1, ceil((hi - floor(lo / width + 1e-9) * width) / width - 1e-9))::BIGINT AS bins FROM w)
+SELECT m.model, b.bin::INT AS bin, round(start + b.bin * width, 6) AS low, round(start + (b.bin + 1) * width, 6) AS high, coalesce(n, 0) AS n
+FROM (SELECT DISTINCT model FROM c) m CROSS JOIN e CROSS JOIN LATERAL (SELECT unnest(range(bins)) AS bin) b
+LEFT JOIN (SELECT model, greatest(least(floor((x - start) / width), bins - 1), 0)::BIGINT AS bin, count(*) AS n FROM c, e GROUP BY ALL) k ON k.model IS NOT DISTINCT FROM m.model AND k.bin = b.bin""")
 def response_time_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.histogram(predictions(spark, d, "model", "response_time"), "response_time")
+    return _rounded(metrics.histogram(predictions(spark, d, "model", "response_time"), "response_time"))
 
 
 @query(f"""
@@ -154,11 +171,15 @@ def score_histogram(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(metrics.histogram(predictions(spark, d, "model", "example_score"), "example_score"))
 
 
-@query()
+@query(f"""
+WITH top AS (SELECT name FROM model_catalog ORDER BY name LIMIT 6), m AS (SELECT name, row_number() OVER (ORDER BY name) AS i FROM top)
+SELECT document_id, {', '.join(f"max(predicted_value) FILTER (WHERE i = {i}) AS value_{i}" for i in range(1, 7))}
+FROM {_p('document_id', 'model', 'predicted_value')} LEFT JOIN m ON m.name = model GROUP BY document_id""")
 def report_pivot(spark: SparkSession, d: str) -> DataFrame:
-    p = predictions(spark, d, "document_id", "model", "predicted_value")
-    models = [r.name for r in table(spark, d, "model_catalog").select("name").orderBy("name").collect()]
-    return metrics.document_pivot(p, models)
+    """Documents by the first six models of the catalogue; columns are numbered, as names vary."""
+    models = [r.name for r in table(spark, d, "model_catalog").select("name").orderBy("name").limit(6).collect()]
+    wide = metrics.document_pivot(predictions(spark, d, "document_id", "model", "predicted_value"), models)
+    return wide.toDF("document_id", *[f"value_{i + 1}" for i in range(len(models))])
 
 
 @query(f"""SELECT document_id, min(expected_value) AS expected_value, count(DISTINCT model) AS models, count(*) AS n, count(*) FILTER (WHERE is_correct) AS correct
@@ -261,8 +282,8 @@ def unknown_labels(spark: SparkSession, d: str) -> DataFrame:
     return joins.unknown_labels(table(spark, d, "predictions"), table(spark, d, "labels"), "document_id").select("label_id", "document_id").distinct()
 
 
-@query("""SELECT DISTINCT pair_id, lower(trim(a, e' \\t\\n\\r')) = lower(trim(b, e' \\t\\n\\r')) AS same, trim(a, e' \\t\\n\\r') = trim(b, e' \\t\\n\\r') AS same_case,
-replace(lower(trim(a, e' \\t\\n\\r')), ' ', '') = replace(lower(trim(b, e' \\t\\n\\r')), ' ', '') AS same_packed FROM text_pairs WHERE regexp_full_match(coalesce(a, '') || coalesce(b, ''), '[\\x01-\\x7f]*')""")
+@query(f"""SELECT DISTINCT pair_id, lower({_strip('a')}) = lower({_strip('b')}) AS same, {_strip('a')} = {_strip('b')} AS same_case,
+replace(lower({_strip('a')}), ' ', '') = replace(lower({_strip('b')}), ' ', '') AS same_packed FROM text_pairs""")
 def exact_comparisons(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     return table(spark, d, "text_pairs").select(
@@ -270,7 +291,26 @@ def exact_comparisons(spark: SparkSession, d: str) -> DataFrame:
     ).distinct()
 
 
-@query()
+_GRAMS = "list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i + {n} - 1], ' '))"
+_HITS = "coalesce(list_sum(list_transform(list_distinct({g}), lambda x: least(len(list_filter({g}, lambda y: y = x)), len(list_filter({h}, lambda y: y = x))))), 0)::BIGINT"
+
+
+def _gram_sql() -> str:
+    """Counts of the n-grams of both sides and those they share."""
+    grams = ", ".join(f"{_GRAMS.format(t=t, n=n)} AS {t}{n}" for n in range(1, 5) for t in ("c", "r"))
+    return f"g AS (SELECT *, {grams} FROM w), h AS (SELECT *, {', '.join(_HITS.format(g=f'c{n}', h=f'r{n}') + f' AS h{n}' for n in range(1, 5))} FROM g)"
+
+
+@query(f"""
+WITH t AS (SELECT DISTINCT pair_id, lower({_strip('a')}) AS x, lower({_strip('b')}) AS y FROM text_pairs),
+k AS (SELECT *, CASE WHEN x = '' THEN [] ELSE list_transform(string_split(x, ''), lambda c: [unicode(c)::BIGINT]) END AS xs, CASE WHEN y = '' THEN []::BIGINT[] ELSE list_transform(string_split(y, ''), lambda c: unicode(c)::BIGINT) END AS ys FROM t),
+l AS (SELECT *, CASE WHEN len(xs) = 0 OR len(ys) = 0 THEN 0 ELSE list_extract(list_reduce(xs, lambda row, c: list_reduce(list_transform(range(1, len(ys) + 1), lambda j: [j]),
+  lambda acc, j: list_append(acc, CASE WHEN ys[j[1]] = c[1] THEN row[j[1]] + 1 ELSE greatest(acc[len(acc)], row[j[1] + 1]) END), [0::BIGINT]), list_transform(range(len(ys) + 1), lambda i: 0::BIGINT)), -1) END AS lcs FROM k),
+w AS (SELECT *, list_filter(string_split_regex(y, '[{_WS}]+'), lambda v: v <> '') AS c, list_filter(string_split_regex(x, '[{_WS}]+'), lambda v: v <> '') AS r FROM l), {_gram_sql()}
+SELECT pair_id, round(CASE WHEN x IS NULL OR y IS NULL THEN NULL WHEN length(x) + length(y) = 0 THEN 1 ELSE 2 * lcs / (length(x) + length(y)) END, 6) AS fuzz_ratio,
+round(CASE WHEN x IS NULL OR y IS NULL THEN NULL WHEN h1 = 0 THEN 0 ELSE CASE WHEN len(c) > len(r) THEN 1 ELSE exp(1 - len(r) / len(c)) END * exp(
+  ({' + '.join(f"ln(CASE WHEN h{n} = 0 THEN 0.1 ELSE h{n} END / greatest(1, len(c{n})))" for n in range(1, 5))}) / 4) END, 6) AS bleu,
+round(CASE WHEN x IS NULL OR y IS NULL THEN NULL WHEN len(c) + len(r) = 0 THEN 0 ELSE (h1 + h2 + h3 + h4) / greatest(len(c1) + len(c2) + len(c3) + len(c4), len(r1) + len(r2) + len(r3) + len(r4)) END, 6) AS gleu FROM h""")
 def text_similarities(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "text_pairs").select("pair_id", "a", "b").distinct()
     return pairs.select("pair_id", *[F.round(text_m, 6).alias(m) for m in ("fuzz_ratio", "bleu", "gleu") for text_m in [similarity.text_similarity(m, F.col("a"), F.col("b"))]])
@@ -287,15 +327,15 @@ _PLACE = {f: FieldConfig() for f in ("city", "country")} | {"zip": FieldConfig(w
 
 
 @query("""
-WITH x AS (SELECT case_id, p, e FROM (SELECT case_id, unnest(predicted_list) AS p, unnest(expected_list) AS e FROM field_matching WHERE len(predicted_list) > 0 AND len(expected_list) > 0) WHERE p IS NOT NULL AND e IS NOT NULL),
+WITH x AS (SELECT case_id, p, e FROM (SELECT case_id, unnest(predicted_list) AS p, unnest(expected_list) AS e FROM field_matching)),
 f AS (SELECT case_id, p.mention_id AS pm, e.mention_id AS em,
   CASE WHEN p.city IS NULL AND e.city IS NULL THEN 0 ELSE 1 END AS wc, CASE WHEN p.city IS NULL AND e.city IS NULL OR p.city = e.city THEN 1 ELSE 0 END AS sc,
   CASE WHEN p.country IS NULL AND e.country IS NULL THEN 0 ELSE 1 END AS wn, CASE WHEN p.country IS NULL AND e.country IS NULL OR p.country = e.country THEN 1 ELSE 0 END AS sn,
   CASE WHEN p.zip IS NULL OR e.zip IS NULL THEN 0 ELSE 2 END AS wz, CASE WHEN p.zip IS NULL OR e.zip IS NULL OR p.zip = e.zip THEN 1 ELSE 0 END AS sz FROM x)
 SELECT case_id, pm, em, round(CASE WHEN wc + wn + wz > 0 THEN (coalesce(sc, 0) * wc + coalesce(sn, 0) * wn + coalesce(sz, 0) * wz) / (wc + wn + wz) ELSE 0 END, 6) AS score FROM f""")
 def place_scores(spark: SparkSession, d: str) -> DataFrame:
-    zipped = table(spark, d, "field_matching").where("size(predicted_list) > 0 AND size(expected_list) > 0").select("case_id", F.explode(joins.zip_lists(F.col("predicted_list"), F.col("expected_list"))).alias("z"))
-    rows = zipped.where("z.a IS NOT NULL AND z.b IS NOT NULL").select("case_id", F.col("z.a").alias("p"), F.col("z.b").alias("e"))
+    zipped = table(spark, d, "field_matching").select("case_id", F.explode(joins.zip_lists(F.col("predicted_list"), F.col("expected_list"))).alias("z"))
+    rows = zipped.select("case_id", F.col("z.a").alias("p"), F.col("z.b").alias("e"))
     form = lambda c: F.to_json(F.struct(*[F.col(f"{c}.{f}").alias(f) for f in _PLACE]))
     score = score_columns(form("e"), form("p"), FieldConfig("object", fields=_PLACE))
     return rows.select("case_id", F.col("p.mention_id").alias("pm"), F.col("e.mention_id").alias("em"), F.round(score, 6).alias("score"))
@@ -319,8 +359,7 @@ def entity_field_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Precision and recall of each model and field of the extraction use cases."""
     p = predictions(spark, d, "model", "use_case", "expected_value", "predicted_value").where("use_case IN ('entities', 'affiliation')")
     shape = infer_config({"entities": {"people": [{"name": "", "type": ""}], "pathogens": [{"name": "", "type": ""}]}, "institutions": [{"name": "", "city": "", "state": "", "country": ""}]})
-    nodes = score_json(p, "expected_value", "predicted_value", JsonScorer(shape)).select("model", F.explode("result").alias("n")).select("model", "n.*")
-    return _rounded(metrics.roll_up(metrics.field_metrics(nodes, ["model"]), ["model"]))
+    return _rounded(metrics.roll_up(metrics.sum_fields(score_fields(p, ["model"], "expected_value", "predicted_value", JsonScorer(shape)), ["model"]), ["model"]))
 
 
 @query("""
@@ -346,8 +385,8 @@ def annotation_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT prediction_id, round(sum(c) OVER (PARTITION BY model ORDER BY prediction_id), 9) AS running_cost FROM (SELECT prediction_id, model, {_clean('llm_cost')} AS c FROM {_p('model', 'llm_cost')})""")
 def running_cost(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("model").orderBy("prediction_id").rowsBetween(Window.unboundedPreceding, 0)
-    return predictions(spark, d, "model", "llm_cost").select("prediction_id", F.round(F.sum(metrics.measured("llm_cost")).over(w), 9).alias("running_cost"))
+    rows = predictions(spark, d, "model", "llm_cost")
+    return sampling.running_sum(rows, "model", "prediction_id", metrics.measured("llm_cost"), "running_cost").select("prediction_id", F.round("running_cost", 9).alias("running_cost"))
 
 
 @query(f"""SELECT prediction_id, document_id FROM {_p('document_id', 'is_correct')} WHERE is_correct ORDER BY prediction_id LIMIT 5""")
@@ -377,11 +416,11 @@ def known_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "predictions").select("document_id").union(table(spark, d, "labels").select("document_id")).distinct()
 
 
-@query("""SELECT doc_id, use_case, 'echo' AS model, length(text) % 7 = 0 AS short_answer, text AS predicted_value FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id, use_case, 'echo' AS model, length(text) % 7 = 0 AS short_answer, coalesce(text, 'ERROR: no prompt') AS predicted_value FROM documents""")
 def offline_predictions(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "use_case", F.lit("echo").alias("model"), F.col("text").alias("prompt"))
+    docs = table(spark, d, "documents").select("doc_id", "use_case", F.lit("echo").alias("model"), F.col("text").alias("prompt"))
     answered = providers.predict(docs, providers.Scripted(_echo))
-    return answered.select("doc_id", "use_case", "model", (F.length("predicted_value") % 7 == 0).alias("short_answer"), "predicted_value")
+    return answered.select("doc_id", "use_case", "model", (F.length("prompt") % 7 == 0).alias("short_answer"), "predicted_value")
 
 
 def _echo(model: str, prompt: str) -> str:

@@ -19,13 +19,11 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 def remaining(docs: DataFrame, models: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Every document for every model that has no finished prediction yet.
 
-    The models are a list of names for a run; their number is checked, so the product
-    is as large as the run.
+    The result is as large as the run, so the models are gathered to one array and exploded
+    beside each document: it is spread by documents, not by models.
     """
-    names = [r[0] for r in models.select("model").distinct().limit(10_001).collect()]
-    if len(names) > 10_000:
-        raise ValueError("more than 10,000 models in a run")
-    every = docs.select(key).withColumn("model", F.explode(F.array(*map(F.lit, sorted(names))) if names else F.expr("CAST(array() AS ARRAY<STRING>)")))
+    names = models.select("model").distinct().agg(F.array_sort(F.collect_list("model")).alias("_all"))
+    every = docs.select(key).join(F.broadcast(names)).select(key, F.explode("_all").alias("model"))
     return every.join(done.select(key, "model").distinct(), [key, "model"], "left_anti")
 
 
@@ -45,10 +43,14 @@ def unknown_labels(preds: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 
 
 def reapply_rates(preds: DataFrame, imputed: Column, rate: Column | None = None) -> DataFrame:
-    """``llm_cost`` by a given rate; else imputed for models all of whose costs are 0."""
-    free = F.every(F.coalesce(F.col("llm_cost") == 0, F.lit(True))).over(Window.partitionBy("model"))
-    own = F.when(free, imputed).otherwise(F.col("llm_cost"))
-    return preds.withColumn("new_cost", own if rate is None else F.coalesce(rate, own))
+    """``llm_cost`` by a given rate; else imputed for models all of whose costs are 0.
+
+    Which models those are is an aggregate, so no model's rows are gathered in one task.
+    """
+    free = preds.groupBy(F.col("model").alias("_m")).agg(F.bool_and(F.coalesce(F.col("llm_cost") == 0, F.lit(True))).alias("_free"))
+    joined = preds.join(free, preds["model"].eqNullSafe(free["_m"]), "left")
+    own = F.when(F.col("_free"), imputed).otherwise(F.col("llm_cost"))
+    return joined.withColumn("new_cost", own if rate is None else F.coalesce(rate, own)).drop("_m", "_free")
 
 
 def valid_staging(rows: DataFrame, wanted: DataFrame, key: str, hash_: str, order: list[Column]) -> DataFrame:
@@ -78,3 +80,8 @@ def nearest_library(imports: DataFrame, patterns: DataFrame) -> DataFrame:
     hit = imports.withColumn("_p", F.explode(prefixes)).join(patterns.withColumnRenamed("library", "_p"), "_p")
     first = Window.partitionBy("file", "library").orderBy("ordinal")
     return hit.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "_p")
+
+
+def documents_of(preds: DataFrame, docs: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """``preds`` with the content of their documents, null where a document is unknown."""
+    return preds.drop(content).join(docs.select(key, content).dropDuplicates([key]), key, "left")

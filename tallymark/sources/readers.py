@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import equal_score
+
 _DOC = "id string, content string, label string, value string, document_id string, metadata map<string,string>, attachments array<string>"
 
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An array of objects, or one object a line; containers in text fields are JSON text."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A file with an array of objects or with one object; containers in text fields are JSON
+    text. Files that are no JSON and rows of nulls only give none."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return rows.na.drop("all")
+
+
+def json_lines(spark: SparkSession, path: str, schema: str = _DOC) -> DataFrame:
+    """One object a line, which splits to any number of tasks; broken lines are left out."""
+    return spark.read.schema(schema).json(path).na.drop("all")
 
 
 def _rest(df: DataFrame, used: set[str]) -> Column:
@@ -100,10 +109,68 @@ def completed_models(runs: DataFrame) -> DataFrame:
     return runs.where("status = 'completed'").select("model").distinct()
 
 
+def result_dir(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions of a folder of result files, of either form: a result with its predictions,
+    or a list of simplified rows (``id, content, label, predicted_label, ...``), whose model
+    and run are told by the file's name up to and after its last underscore.
+
+    Missing costs and times are 0; a simplified row is correct if it says so or its texts
+    are equal apart from case and outer space. Files that cannot be read give no rows.
+    """
+    files = spark.read.text(path.rstrip("/") + "/*.json", wholetext=True).select("value", F.input_file_name().alias("_f"))
+    stem = F.regexp_replace(F.url_decode(F.substring_index("_f", "/", -1)), r"\.json$", "")
+    parsed = files.select("value", stem.alias("_s"), F.schema_of_variant(F.try_parse_json("value")).alias("_k"))
+    whole = parsed.where("_k LIKE 'OBJECT%'").select(F.from_json("value", _MODEL_FILE).alias("r")).select("r.run_id", "r.model", "r.status", F.explode("r.predictions").alias("p"))
+    whole = whole.select("run_id", "model", "status", "p.*").withColumn("example_score", F.coalesce("example_score", F.col("is_correct").cast("double"))).withColumn("content", F.lit(None).cast("string"))
+    simple = "array<struct<id: string, content: string, label: string, predicted_label: string, is_correct: boolean, response_time: double, llm_cost: double, cost: double, original_cost: double, evaluation_cost: double, example_score: double, field_metrics: string>>"
+    named = F.col("_s").contains("_")
+    head, tail = F.regexp_extract("_s", "^(.*)_[^_]*$", 1), F.substring_index("_s", "_", -1)
+    rows = parsed.where("_k LIKE 'ARRAY%'").select(F.when(named, tail).otherwise(F.col("_s")).alias("run_id"), F.when(named, head).otherwise(F.col("_s")).alias("model"), F.explode(F.from_json("value", simple)).alias("p"))
+    correct = F.coalesce(F.col("p.is_correct"), F.lit(False)) | F.coalesce(equal_score(F.coalesce("p.predicted_label", F.lit("")), F.coalesce("p.label", F.lit(""))) == 1.0, F.lit(False))
+    zero = F.lit(0.0)
+    simple_rows = rows.select(
+        "run_id", "model", F.lit("completed").alias("status"), F.col("p.id").alias("document_id"), F.col("p.predicted_label").alias("predicted_value"), F.col("p.label").alias("expected_value"), correct.alias("is_correct"),
+        F.coalesce("p.example_score", correct.cast("double")).alias("example_score"), F.coalesce("p.response_time", zero).alias("response_time"), F.col("p.original_cost").alias("original_cost"),
+        F.coalesce("p.llm_cost", "p.cost", zero).alias("llm_cost"), F.coalesce("p.evaluation_cost", zero).alias("evaluation_cost"), F.col("p.field_metrics").alias("field_metrics"), F.col("p.content").alias("content"),
+    )
+    return whole.select(*simple_rows.columns).unionByName(simple_rows)
+
+
+def is_legacy(spark: SparkSession, path: str) -> bool:
+    """A single file, or a folder without metadata."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        raise FileNotFoundError(path)
+    return fs.getFileStatus(at).isFile() or not any(fs.exists(jvm.org.apache.hadoop.fs.Path(path, n)) for n in ("metadata.json", "metadata"))
+
+
+def any_results(spark: SparkSession, path: str) -> DataFrame:
+    """Predictions of a run or of legacy results, in a folder or a file."""
+    if not is_legacy(spark, path):
+        return run_predictions(spark, path)
+    if path.endswith(".json"):
+        return legacy_results(spark, path)
+    return result_dir(spark, path)
+
+
+def run_predictions(spark: SparkSession, run_dir: str) -> DataFrame:
+    """Predictions of a run joined to their documents: ``content``, and the document's label
+    where a prediction has no expected value. Missing costs and times are 0."""
+    preds = model_files(spark, run_dir)
+    docs = run_metadata(spark, run_dir).select(F.col("id").alias("document_id"), "content", F.col("label").alias("_l"))
+    joined = preds.join(docs.dropDuplicates(["document_id"]), "document_id", "left").withColumn("expected_value", F.coalesce("expected_value", "_l")).drop("_l")
+    return joined.fillna(0.0, ["response_time", "llm_cost", "evaluation_cost"])
+
+
 def first_documents(preds: DataFrame) -> DataFrame:
-    """First-seen documents of a legacy result: by model, then by id."""
-    w = Window.partitionBy("document_id").orderBy("model", "run_id")
-    return preds.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("document_id", "expected_value")
+    """``document_id, content, expected_value``: the documents of legacy results, each as first
+    seen by model and run."""
+    content = F.col("content") if "content" in preds.columns else F.lit(None).cast("string")
+    order = F.struct("model", "run_id")
+    seen = preds.select("document_id", "model", "run_id", content.alias("content"), "expected_value")
+    return seen.groupBy("document_id").agg(F.min_by(F.struct("content", "expected_value"), order).alias("f")).select("document_id", "f.content", "f.expected_value")
 
 
 def code_files(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:

@@ -112,7 +112,7 @@ def test_grounded_and_merged(spark):
 def test_codescan(spark):
     code = 'import openai\nP = "Say " + "hi"\nc = openai.OpenAI()\nc.chat.completions.create(messages=[{"role": "user", "content": P}])\n'
     rows = codescan.scan_calls(spark.createDataFrame([("f.py", code), ("g.py", "def ("), ("h.py", None)], "file string, text string")).collect()
-    assert [(r.line, r.provider, r.prompt) for r in rows] == [(4, "openai", "Say hi")]
+    assert [(r.line, r.provider, r.prompt) for r in rows] == [(4, "OpenAI", "Say hi")]
     hits = codescan.scan_lines(spark.createDataFrame([("f", "a\nb1")], "file string, text string"), spark.createDataFrame([("digit", "[0-9]")], "name string, regex string")).collect()
     assert [(r.line, r.name) for r in hits] == [(2, "digit")]
 
