@@ -111,7 +111,9 @@ def calls_in(file: str, text: str) -> list[tuple]:
     for node in ast.walk(tree):
         if isinstance(node, ast.Call):
             called = _dotted(node.func)
-            best = max(((len(c), -k, p, lib, kind) for k, (p, lib, kind, calls) in enumerate(here) for c in calls if called == c or called.endswith(f".{c}")), default=None)
+            root = called.split(".")[0]  # a module that is imported answers for itself
+            own = [x for x in enumerate(here) if root not in imported or root == x[1][1] or root.startswith(f"{x[1][1]}_")]
+            best = max(((len(c), -k, p, lib, kind) for k, (p, lib, kind, calls) in own for c in calls if called == c or called.endswith(f".{c}")), default=None)
             if best and (node.lineno, called) not in seen:
                 seen.add((node.lineno, called))
                 provider, library, kind = best[2:]

@@ -41,46 +41,103 @@ class Scripted:
         return Answer(self.answer(model, prompt), self.cost_per_char * len(prompt))
 
 
+class Unsupported(ValueError):
+    """A model refuses a parameter; ``parameter`` names it."""
+
+    def __init__(self, parameter: str):
+        super().__init__(f"unsupported parameter: {parameter}")
+        self.parameter = parameter
+
+
 @dataclass
 class Retrying:
-    """Tries again after ``delay * 2 ** (n - 1)`` seconds."""
+    """Tries again after ``delay * 2 ** (n - 1)`` seconds. A refused temperature is left out,
+    without counting as a try."""
 
     inner: Provider
     retries: int = 3
     delay: float = 1.0
     sleep: Callable[[float], None] = time.sleep
 
-    def complete(self, model: str, prompt: str, temperature: float = 0.0) -> Answer:
-        for n in range(1, self.retries + 1):
+    def complete(self, model: str, prompt: str, temperature: float | None = 0.0) -> Answer:
+        n = 1
+        while True:
             try:
                 return self.inner.complete(model, prompt, temperature)
+            except Unsupported as e:
+                if e.parameter != "temperature" or temperature is None:
+                    raise
+                temperature = None
             except Exception:
-                if n == self.retries:
+                if n >= self.retries:
                     raise
                 self.sleep(self.delay * 2 ** (n - 1))
-        raise RuntimeError("no attempt was allowed")
+                n += 1
+
+
+@dataclass
+class Parametrised:
+    """A provider that takes parameters by model (``options``), less what the model is known
+    not to support; an option replaces the temperature of the call."""
+
+    inner: Callable[..., Answer]
+    options: dict[str, dict] = field(default_factory=dict)
+    unsupported: dict[str, set[str]] = field(default_factory=dict)
+
+    def complete(self, model: str, prompt: str, temperature: float | None = 0.0) -> Answer:
+        given = {"temperature": temperature} | self.options.get(model, {})
+        return self.inner(model, prompt, **{k: v for k, v in given.items() if v is not None and k not in self.unsupported.get(model, ())})
 
 
 @dataclass
 class Limited:
-    """At most ``per_minute`` calls in any 60 seconds, in this worker."""
+    """At most ``per_minute`` calls in any 60 seconds by all ``workers`` together: each has its
+    share, at least one call."""
 
     inner: Provider
     per_minute: int
     clock: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
     calls: deque = field(default_factory=deque)
+    workers: int = 1
 
-    def complete(self, model: str, prompt: str, temperature: float = 0.0) -> Answer:
+    def complete(self, model: str, prompt: str, temperature: float | None = 0.0) -> Answer:
+        share = max(1, self.per_minute // max(1, self.workers))
         now = self.clock()
         while self.calls and now - self.calls[0] >= 60:
             self.calls.popleft()
-        if len(self.calls) >= self.per_minute:
+        if len(self.calls) >= share:
             self.sleep(60 - (now - self.calls.popleft()))
         self.calls.append(self.clock())
         return self.inner.complete(model, prompt, temperature)
 
 
+@dataclass
+class Counted:
+    """Adds calls, failures and cost to accumulators of the session, so the driver can read
+    them after an action; a task that is run again counts again."""
+
+    inner: Provider
+    calls: object
+    failures: object
+    cost: object
+
+    @classmethod
+    def over(cls, spark, inner: Provider) -> Counted:
+        sc = spark.sparkContext
+        return cls(inner, sc.accumulator(0), sc.accumulator(0), sc.accumulator(0.0))
+
+    def complete(self, model: str, prompt: str, temperature: float | None = 0.0) -> Answer:
+        self.calls.add(1)
+        try:
+            out = self.inner.complete(model, prompt, temperature)
+        except Exception:
+            self.failures.add(1)
+            raise
+        self.cost.add(float(out.cost))
+        return out
+
+
 @dataclass
 class Fallback:
     """The first model of the chain that answers."""
@@ -123,6 +180,8 @@ def predict(prompts: DataFrame, provider: Provider, workers: int | None = None,
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([o[i] for o in out], kinds[i]) for i in range(3)]], [*names, "predicted_value", "llm_cost", "response_time"])
 
     rows = prompts.select(*names)
+    if workers and isinstance(provider, Limited):
+        provider.workers = workers
     return (rows.repartition(workers) if workers else rows).mapInArrow(run, schema)
 
 
