@@ -206,12 +206,6 @@ def classification_report(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(metrics.classification_report(p, "expected_value", "predicted_value", ("model",)))
 
 
-@query("""SELECT key, value, count(*) AS n FROM (
-SELECT 'litellm_provider' AS key, litellm_provider AS value FROM model_catalog UNION ALL SELECT 'mode', mode FROM model_catalog) GROUP BY key, value""")
-def scan_counts(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.scan_counts(table(spark, d, "model_catalog"), ["litellm_provider", "mode"])
-
-
 @query("""
 WITH v AS (SELECT DISTINCT use_case, value FROM labels WHERE length(trim(value, ' ')) > 0), n AS (SELECT use_case, count(*) AS n FROM v GROUP BY use_case)
 SELECT n.use_case, CASE WHEN n.n <= 50 THEN (SELECT string_agg(value, '|' ORDER BY value) FROM v WHERE v.use_case = n.use_case) END AS enum FROM n""")
@@ -446,3 +440,6 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p4_tables(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten(table(spark, d, "predictions"), "prediction_id", list(nested.PREDICTION_FIELDS))
+
+
+from . import catalog_parts  # noqa: E402, F401  (more queries, registered with those above)

@@ -91,7 +91,7 @@ def match_key(item: Column, keys: list[str], size: int = 512) -> Column:
 
 def input_hash(content: Column, prompt: Column, params: Column) -> Column:
     """SHA-256 of canonical JSON with sorted keys; a null part is JSON null."""
-    part = lambda c: F.coalesce(F.to_json(F.struct(c.alias("v"))).substr(F.lit(5), F.length(F.to_json(F.struct(c.alias("v")))) - 5), F.lit("null"))
+    part = lambda c: F.coalesce(F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6), F.lit("null"))
     text = F.concat(F.lit('{"content":'), F.when(content.isNull(), "null").otherwise(part(content)), F.lit(',"params":'), F.coalesce(params, F.lit("null")), F.lit(',"prompt":'), F.when(prompt.isNull(), "null").otherwise(part(prompt)), F.lit("}"))
     return F.sha2(text, 256)
 

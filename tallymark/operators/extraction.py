@@ -148,3 +148,29 @@ def grounded(df: DataFrame, extracted: str, document: str, name: str = "grounded
         return json.dumps(drop_paths(value, gone), ensure_ascii=False)
 
     return _json_udf(df, [extracted, document], name, check)
+
+
+def ground_counts(df: DataFrame, extracted: str, document: str) -> DataFrame:
+    """Add ``strings`` and ``found``: the non-blank strings of an extraction and how many of them
+    the document holds, case aside; null where it is no JSON."""
+    keep = [x for x in df.schema.fields if x.name not in ("strings", "found")]
+    names = [x.name for x in keep]
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in keep) + ", strings bigint, found bigint"
+    at = names.index(extracted), names.index(document)
+
+    def count(text: str | None, doc: str | None) -> tuple[int | None, int | None]:
+        try:
+            value = json.loads(text)
+        except (TypeError, ValueError):
+            return None, None
+        low, strings = (doc or "").lower(), leaf_strings(value)
+        return len(strings), sum(s.lower() in low for _, s in strings)
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [count(t, d) for t, d in zip(batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist())]
+            return pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([r[i] for r in rows], pa.int64()) for i in range(2)]], [*names, "strings", "found"])
+
+        return step
+
+    return map_batches(df.select(*names), schema, make)

@@ -20,8 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; for a scan that is the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate; for a scan that is the size of its files. Of a join, which
+    Catalyst takes for a product, no more than its inputs have together."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    return min(int(plan.stats().sizeInBytes()), sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())))
 
 
 def parts_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
