@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _METRICS, _clean, _p, _rounded, _strip, model_metrics, predictions, query
 from .functions import media, text
-from .operators import codescan, extraction, joins, metrics, reports, sampling
+from .operators import codescan, drift, extraction, joins, metrics, nested, reports
 from .operators.external import score_external
 from .operators.scoring import FieldConfig, JsonScorer, score_json
 from .plans import decomposed, fewshot, prompts, providers, schemas, settings
@@ -461,3 +461,37 @@ def nearest_libraries(spark: SparkSession, d: str) -> DataFrame:
     imports = files.join(F.broadcast(catalog.select("library").distinct().agg(F.collect_list("library").alias("l")))).select("file", F.explode("l").alias("library"))
     patterns = catalog.select(F.col("litellm_provider").alias("name"), F.substring_index("library", ".", 1).alias("library"), F.row_number().over(Window.orderBy(F.col("name"))).alias("ordinal"))
     return joins.nearest_library(imports, patterns).select("file", "library", "name")
+
+
+# Drift and nested records beside p2_found and p4_found
+
+_NODES = r"""n AS (SELECT prediction_id, replace(fullkey, '"', '') AS node_path, replace(path, '"', '') AS path, regexp_matches(fullkey, '\]$') AS item
+  FROM (SELECT DISTINCT prediction_id, CASE WHEN json_type(field_metrics) = 'VARCHAR' THEN field_metrics->>'$' ELSE field_metrics END AS field_metrics FROM predictions WHERE json_valid(field_metrics)) p, json_tree(p.field_metrics) t WHERE t.type = 'OBJECT')"""
+
+
+@query(rf"""WITH {_NODES} SELECT prediction_id, node_path, CASE WHEN node_path = '$' THEN '' WHEN item THEN CASE WHEN regexp_matches(path, '^\$(\[\d+\])*$') THEN '' ELSE regexp_replace(regexp_replace(path, '(\[\d+\])*$', ''), '\.[^.]*$', '') END ELSE path END AS parent_path FROM n""")
+def p4_metric_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The objects of the field metrics, which are plain JSON or that once more as a string."""
+    nodes = nested.flatten(table(spark, d, "predictions"), "prediction_id", ["field_metrics"], attributes=False)
+    return nodes.select("prediction_id", "node_path", "parent_path")
+
+
+@query()
+def p4_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables that the nested fields make, one for each repeated path."""
+    return nested.table_paths(nested.flatten(table(spark, d, "predictions"), "prediction_id", list(nested.PREDICTION_FIELDS)))
+
+
+@query("""SELECT DISTINCT file_id, line_no FROM staging_lines WHERE json_valid(line_text) AND json_type(line_text) = 'OBJECT'""")
+def p2_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines that reach the unified table."""
+    return drift.unify(table(spark, d, "staging_lines")).select("file_id", "line_no")
+
+
+@query("""
+WITH l AS (SELECT DISTINCT file_id, line_no, line_text FROM staging_lines WHERE json_valid(line_text) AND json_type(line_text) = 'OBJECT')
+SELECT f.file_id, k.key AS field FROM (SELECT DISTINCT file_id FROM l) f JOIN (SELECT DISTINCT file_id, unnest(json_keys(line_text)) AS key FROM l) k USING (file_id)""")
+def p2_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The lifespan catalogue's top-level fields of each file."""
+    cells = drift.cells(table(spark, d, "staging_lines"), "stream_name", "file_id", "written_at", "line_text")
+    return drift.catalogue(cells).where("parent = ''").select(F.col("file").alias("file_id"), "field")

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut, spread
 
-#: Distinct field names whose alias components are solved on the driver.
-MAX_NAMES = 20_000
+#: Columns of the unified table; the fields beyond, by frequency, share one map.
+MAX_COLUMNS = 2_000
+REST = "other_fields"
 
 _TYPE = (
     "CASE WHEN {t} LIKE 'OBJECT%' THEN 'object' WHEN {t} LIKE 'ARRAY%' THEN 'array' WHEN {t} = 'STRING' THEN 'string' "
@@ -304,13 +305,13 @@ def unify(lines: DataFrame, producer: str = "stream_name", file: str = "file_id"
     text have the same members. Those without members (empty, or any other list) and those
     two levels deep are JSON text. A scalar and a container under one name have two
     columns, the latter ending in ``_json``; a name that is taken gets ``_`` behind it.
-    Repeated line numbers count once.
+    Repeated line numbers count once. Beyond MAX_COLUMNS columns the less frequent fields are
+    text in a map, ``other_fields``. The names of all fields and their renames are solved on
+    the driver: they are the schema, not data.
     """
     names = {"producer": producer, "file": file, "written": written, "line": line}
     cell = _members(lines, **names)
-    used = cell.groupBy("parent", "field", "type", "boxed", "filled").agg(F.count("*").alias("n")).limit(8 * MAX_NAMES + 1).collect()
-    if len({(r.parent, r.field) for r in used}) > MAX_NAMES or len(used) > 8 * MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} distinct field names")
+    used = cell.groupBy("parent", "field", "type", "boxed", "filled").agg(F.count("*").alias("n")).collect()
     alias = canonical_names(used, changes(lines, **names))
     scalars = {c for (_, _, b), c in alias.items() if not b}
     kept: dict[tuple, tuple] = {}
@@ -321,7 +322,7 @@ def unify(lines: DataFrame, producer: str = "stream_name", file: str = "file_id"
             column = kept[r.parent, r.field, r.boxed, r.filled] = (*alias[r.parent, r.field, b], b)
             of = number.setdefault(column, {})
             of["box" if b else r.type] = of.get("box" if b else r.type, 0) + r.n
-    taken, title = {"file_id", "line_no"}, {}
+    taken, title = {"file_id", "line_no", REST}, {}
     for column in sorted(number):
         p, f, b = column
         name = (f"{p}.{f}" if p else f) + ("_json" if b and (p, f) in scalars else "")
@@ -333,10 +334,16 @@ def unify(lines: DataFrame, producer: str = "stream_name", file: str = "file_id"
     rows = [(*k, title[c]) for k, c in sorted(kept.items())]
     mapping = spark.createDataFrame(rows or [("", "", False, False, "")], "parent string, field string, boxed boolean, filled boolean, name string")
     named = cell.join(F.broadcast(mapping), ["parent", "field", "boxed", "filled"])
-    columns = sorted(title.values())
+    often = sorted(title.values(), key=lambda t: (-sum(sum(number[c].values()) for c in number if title[c] == t), t))
+    columns = sorted(often[:MAX_COLUMNS])
     kind = {title[c]: max(("number", "boolean", "string", "box"), key=lambda k: n.get(k, 0)) for c, n in number.items()}
-    wide = named.groupBy(F.col("file").alias("file_id"), "line_no").pivot("name", columns or [""]).agg(F.max("text"))
+    line_of = [F.col("file").alias("file_id"), "line_no"]
+    wide = named.groupBy(*line_of).pivot("name", columns or [""]).agg(F.max("text"))
+    if len(often) > MAX_COLUMNS:
+        more = named.where(~F.col("name").isin(columns)).groupBy(*line_of, "name").agg(F.max("text").alias("text"))
+        rest = more.groupBy("file_id", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias(REST))
+        wide = wide.join(rest, ["file_id", "line_no"], "left")
     bit = lambda c: F.when(F.lower(c).isin("true", "1"), True).when(F.lower(c).isin("false", "0"), False)
     numeric = lambda c: F.coalesce(c.try_cast("double"), c.try_cast("boolean").cast("double"), F.regexp_extract(c, r"^[A-Za-z]+-([0-9]+)$", 1).try_cast("double"))
     cast = {"number": numeric, "boolean": bit, "string": lambda c: c, "box": lambda c: c}
-    return wide.select("file_id", "line_no", *[cast[kind[c]](F.col(f"`{c.replace('`', '``')}`")).alias(c) for c in columns])
+    return wide.select("file_id", "line_no", *[cast[kind[c]](F.col(f"`{c.replace('`', '``')}`")).alias(c) for c in columns], *([REST] if len(often) > MAX_COLUMNS else []))

@@ -9,6 +9,7 @@ the path of its enclosing object, and holds its scalar members as attributes.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,12 @@ from .arrowmap import map_batches
 
 PREDICTION_FIELDS = ("field_metrics", "predicted_value", "expected_value")
 
+#: A bracket and what may follow it in JSON, also in JSON inside a JSON string.
+_OPENS = re.compile(
+    r'\{(?:\s|\\+[nrt])*(?:\\*"|\}|$)'
+    r'|\[(?:\s|\\+[nrt])*(?:\\*"|[\[{\]]|-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?\s*[,\]]|(?:true|false|null)\s*[,\]]|NaN|-?Infinity|$)'
+)
+
 _decode = json.JSONDecoder(strict=False).raw_decode
 
 
@@ -27,16 +34,17 @@ def find_json(text: str | None):
     """The JSON value in a text, or None.
 
     The value may stand alone, in a code fence, among words, or be encoded again as a
-    JSON string. It starts at the first bracket (or at the quote before it); if no
-    complete value starts there, there is none: later brackets are inside it. Scalars
-    count as no value.
+    JSON string. It starts at the first bracket (or at the quote before it) after which
+    there could be JSON; if no complete value starts there, there is none: later brackets
+    are inside it. Brackets of prose, such as [see text], and scalars are no value.
     """
     for _ in range(8):
         if not text:
             return None
-        at = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
-        if at < 0:
+        found = _OPENS.search(text)
+        if not found:
             return None
+        at = found.start()
         head = text[:at].rstrip()
         value = None
         # A quote before the bracket opens an encoded string, unless it is part of the words.
@@ -137,7 +145,8 @@ def flatten(df: DataFrame, key: str, fields: list[str], attributes: bool = True)
     Columns ``key, field_name, node_path, parent_path`` and, with ``attributes``,
     ``table_path, ordinal, attributes`` (a map). Rows with a null key stay under null;
     rows repeated under one key count once. Null, empty or incomplete JSON has no
-    nodes. Other columns are ignored, whatever their names.
+    nodes. Other columns are ignored, whatever their names. Rows with a null key are told
+    apart by their texts only.
     """
     kind = dict(df.dtypes)[key]
     texts = [F.col(f).alias(f"f{i}") for i, f in enumerate(fields)]
@@ -146,7 +155,9 @@ def flatten(df: DataFrame, key: str, fields: list[str], attributes: bool = True)
     for i in range(len(fields)):
         for c in opens:
             holds |= F.coalesce(F.col(f"f{i}").contains(c), F.lit(False))
-    rows = spread(df.select(F.col(key).alias("k"), *texts).where(holds)).dropDuplicates(["k"])
+    rows = spread(df.select(F.col(key).alias("k"), *texts).where(holds))
+    apart = F.when(F.col("k").isNull(), F.xxhash64(*[f"f{i}" for i in range(len(fields))]))
+    rows = rows.withColumn("_apart", apart).dropDuplicates(["k", "_apart"]).drop("_apart")
     schema = f"k {kind}, field_name string, node_path string, parent_path string" + (
         ", table_path string, ordinal int, attributes map<string,string>" if attributes else ""
     )
@@ -173,3 +184,28 @@ def flatten(df: DataFrame, key: str, fields: list[str], attributes: bool = True)
         return step
 
     return map_batches(rows, schema, make).withColumnRenamed("k", key)
+
+
+def table_paths(nodes: DataFrame) -> DataFrame:
+    """``field_name, table_path, parent_table, columns, n`` of the tables in flattened nodes (with
+    attributes): one for each repeated path, with the names of its scalar members."""
+    parent = F.when(F.col("parent_path") != "", F.regexp_replace("parent_path", r"\[[0-9]+\]", "[*]"))
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("attributes")))))
+    return nodes.groupBy("field_name", "table_path").agg(F.min(parent).alias("parent_table"), names.alias("columns"), F.count("*").alias("n"))
+
+
+def as_table(nodes: DataFrame, key: str, field: str, path: str) -> DataFrame:
+    """One flat table of flattened nodes: ``key, node_path, parent_path, ordinal`` and a text column
+    for each scalar member that any of its objects has. Members named like one of those
+    get ``_`` behind them."""
+    rows = nodes.where((F.col("field_name") == field) & (F.col("table_path") == path))
+    names = [r[0] for r in rows.select(F.explode(F.map_keys("attributes"))).distinct().orderBy("col").collect()]
+    fixed = [key, "node_path", "parent_path", "ordinal"]
+    taken, columns = {f.lower() for f in fixed}, []
+    for n in names:
+        name = n
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        columns.append(F.col("attributes")[n].alias(name))
+    return rows.select(*fixed, *columns)

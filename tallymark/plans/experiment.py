@@ -16,7 +16,7 @@ from ..operators import joins, metrics, reports
 from ..operators.external import score_external
 from ..operators.scoring import FieldConfig, JsonScorer, score_fields, score_json
 from ..session import cut
-from ..sources import readers, writers
+from ..sources import writers
 from . import decomposed, schemas
 from .prompts import ModelSpec, check_labels, prepare
 from .providers import Provider, predict

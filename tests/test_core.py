@@ -234,6 +234,16 @@ def test_unify_members(spark):
     assert [got[3, i].cost for i in range(4)] == [None, None, "{}", "[7]"] and len(got) == 21
 
 
+def test_unify_keeps_every_cell(spark, sf, monkeypatch):
+    lines = spark.read.parquet(f"{sf}/staging_lines.parquet")
+    cells = drift._members(lines, producer="stream_name", file="file_id", written="written_at", line="line_text").where("NOT (filled AND parent = '')").distinct().count()
+    filled = lambda w, skip: sum(r for r in w.select(*[F.count(F.col(f"`{c}`")) for c in w.columns if c not in skip]).first())
+    assert filled(drift.unify(lines), ("file_id", "line_no")) == cells
+    monkeypatch.setattr(drift, "MAX_COLUMNS", 5)
+    few = drift.unify(lines)
+    assert len(few.columns) == 8 and filled(few, ("file_id", "line_no", drift.REST)) + few.agg(F.sum(F.size(drift.REST))).first()[0] == cells
+
+
 def test_nested(spark):
     objects = lambda t: None if (v := nested.find_json(t)) is None else nested.object_paths(v)
     assert sorted(objects('{"a": {"b": [{"c": 1}, {}]}, "d": 1}')) == [("$", ""), ("$.a", "$"), ("$.a.b[0]", "$.a"), ("$.a.b[1]", "$.a")]
@@ -247,6 +257,22 @@ def test_nested(spark):
     assert nested.flatten(df.limit(0), "id", ["v"]).count() == 0
 
 
+def test_nested_tables_rebuild_the_json(spark):
+    value = {"a": "x", "list": [{"n": "1", "deep": {"k": "v"}}, {"n": "2", "node_path": "p"}], "o": {"e": {}}}
+    df = spark.createDataFrame([(None, json.dumps(value)), (None, '{"b": "y"}'), (None, '{"b": "y"}'), (7, "Note [see text]: " + json.dumps(value))], "id int, v string")
+    nodes = nested.flatten(df, "id", ["v"]).cache()
+    assert nodes.where("id IS NULL").count() == 7 and nodes.where("id = 7").count() == 6
+    one = nodes.where("id = 7")
+    tables = {r.table_path: (r.parent_table, r.columns, r.n) for r in nested.table_paths(one).collect()}
+    assert tables == {"$": (None, ["a"], 1), "$.list[*]": ("$", ["n", "node_path"], 2), "$.list[*].deep": ("$.list[*]", ["k"], 1), "$.o": ("$", [], 1), "$.o.e": ("$.o", [], 1)}
+    part = nested.as_table(one, "id", "v", "$.list[*]")
+    assert part.columns == ["id", "node_path", "parent_path", "ordinal", "n", "node_path_"] and [(r.ordinal, r.n, r.node_path_) for r in part.orderBy("ordinal").collect()] == [(0, "1", None), (1, "2", "p")]
+    # Every table's rows joined to their parents give the record back.
+    rows = {r.node_path: dict(r.attributes) for r in one.collect()}
+    back = rows["$"] | {"list": [rows["$.list[0]"] | {"deep": rows["$.list[0].deep"]}, rows["$.list[1]"]], "o": rows["$.o"] | {"e": rows["$.o.e"]}}
+    assert back == value and all(r.parent_path in rows for r in one.where("parent_path <> ''").collect())
+
+
 def test_object_paths_come_from_pivoted_triples(monkeypatch):
     seen, triples = [], nested.triples
     monkeypatch.setattr(nested, "triples", lambda v: seen.append(v) or triples(v))
