@@ -13,6 +13,7 @@ consist of. Real content that quotes or reports a message has sentences of other
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -75,6 +76,12 @@ _ABOUT = regex.compile(r"\b(?:(placeholder)|(marker)|(variable)|(syntax|notation
 _BREAK = regex.compile(r"[.!?;]\s|\n")
 
 
+#: What any placeholder has; one test of the text before the grammars.
+_HINT = re.compile(r"[{\[<«]|%[\w(%]|[$#]\{|\$\w|__|##|@@|@\w|\*\||\((?:insert|enter|type|fill in|put|your)\s", re.I)
+#: Other forms of the characters in it.
+_HINT_FORMS = re.compile("[｛［＜％＄＿＃＊＠（]|&(?:lt|gt|quot|amp|#)")
+
+
 def _sentence(text: str, start: int, end: int) -> str:
     """The sentence around a span, without the span."""
     head, tail = text[max(0, start - 400) : start], text[end : end + 400]
@@ -102,7 +109,7 @@ def _is_slot(delimiter: str, name: str) -> bool:
 
 def has_placeholder(text: str) -> bool:
     """Whether a placeholder is left in the text, outside code and explanations of it."""
-    if not any(c in text for c in "{[<%$_«#*@("):
+    if not _HINT.search(text):
         return False
     code: list[str] = []
     text = _CODE.sub(lambda m: code.append(m.group()) or " ", text)
@@ -213,42 +220,69 @@ def near(word: str, book: tuple[frozenset[str], frozenset[str]]) -> bool:
 
 @lru_cache(maxsize=200_000)
 def _speech(word: str) -> int:
-    """Bit i: word of speech i. Glue words belong to all."""
+    """Bit i: word of speech i. Glue words belong to all. Look-alike letters of a word that is
+    of none are resolved."""
     if word in _GLUE:
         return 15
-    return sum(1 << i for i, book in enumerate(_SPEECH) if near(word, book))
+    found = sum(1 << i for i, book in enumerate(_SPEECH) if near(word, book))
+    if not found and not word.isascii() and (form := transducer().apply(word)) != word:
+        return _speech(form)
+    return found
+
+
+def _plain(line: str) -> list[str]:
+    """Sentences of a line without furniture and references, folded."""
+    bare = _REFS.sub(lambda m: m.group() if len(m.group()) == 3 and m.group().isdigit() else " ", _FURNITURE.sub(" ", line))
+    return _SENTENCE.split(_fold(bare).replace("_", " "))
+
+
+def _judged(sentence: str) -> tuple[str, int, int, int, list[str], bool]:
+    """(sentence, words, words of messages, glue words, anchors, it is content)."""
+    anchors: list[str] = []
+    if _WIDE_RUN.search(sentence):  # a phrase is a word; other letters of such scripts are words of two
+        anchors = [m.lastgroup for m in _PHRASE.finditer(sentence)]
+        sentence = _PHRASE.sub(" ", sentence)
+        strange = -(-len(_WIDE_RUN.findall(sentence)) // 2)
+        sentence = _WIDE_RUN.sub(" ", sentence) + " ※" * strange
+    words = _TOKEN.findall(sentence) + ["※"] * sentence.count("※")
+    bits = [_speech(w) for w in words] + [14] * len(anchors)
+    strange, n = bits.count(0), len(bits)
+    return sentence, n, n - strange, bits.count(15), anchors, strange > max(1 if n > 2 else 0, 0.2 * n)
+
+
+def _opens_with_content(line: str) -> bool:
+    """Whether one of the first whole sentences of a long line is content; markup that such a
+    part may cut is left to the whole line."""
+    head = line[:400]
+    ends = [m.end() for m in _SENTENCE.finditer(head)]
+    if not ends or "<!--" in head or "<" in head and head.rfind("<", 0, ends[-1]) > head.rfind(">", 0, ends[-1]):
+        return False
+    return any(_judged(x)[-1] for x in _plain(head[: ends[-1]]))
 
 
 def is_no_content(text: str) -> bool:
-    """Whether the text, page furniture aside, is filler, an error or a notice."""
+    """Whether the text, page furniture aside, is filler, an error or a notice. A sentence of
+    other words is content, whatever surrounds it."""
     total = good = glue = 0
     seen: list[str] = []
     anchors: set[str] = set()
     for line in text.split("\n"):
-        bare = _REFS.sub(lambda m: m.group() if len(m.group()) == 3 and m.group().isdigit() else " ", _FURNITURE.sub(" ", line))
-        for sentence in _SENTENCE.split(_fold(bare).replace("_", " ")):
-            phrases = 0
-            if _WIDE_RUN.search(sentence):  # a phrase is a word; other letters of such scripts are words of two
-                found = [m.lastgroup for m in _PHRASE.finditer(sentence)]
-                anchors.update(found)
-                phrases = len(found)
-                sentence = _PHRASE.sub(" ", sentence)
-                strange = -(-len(_WIDE_RUN.findall(sentence)) // 2)
-                sentence = _WIDE_RUN.sub(" ", sentence) + " ※" * strange
-            words = _TOKEN.findall(sentence) + ["※"] * sentence.count("※")
-            bits = [_speech(w) for w in words] + [14] * phrases
-            words += ["…"] * phrases
-            hits = len(words) - bits.count(0)
-            # A sentence of other words is content, whatever surrounds it.
-            if len(words) - hits > max(1 if len(words) > 2 else 0, 0.2 * len(words)):
+        if len(line) > 600 and _opens_with_content(line):
+            return False
+        for each in _plain(line):
+            sentence, n, hits, joints, found, content = _judged(each)
+            if content:
                 return False
             seen.append(sentence)
-            total += len(words)
+            anchors.update(found)
+            total += n
             good += hits
-            glue += bits.count(15)
+            glue += joints
     if not total or good < 0.85 * total or glue > 0.65 * total:
         return False
     folded = " ".join(seen)
+    if not folded.isascii():
+        folded += " " + transducer().apply(folded)
     return bool(anchors) or bool(_ANCHOR.search(folded)) or _anchored(folded)
 
 
@@ -271,8 +305,13 @@ def is_residue(text: str | None) -> bool:
         return False
     if "&" in text:
         text = html.unescape(text)
-    # As typed, for the words of all scripts, and with look-alike letters resolved.
-    return any(has_placeholder(t) or is_no_content(t) for t in dict.fromkeys((text, transducer().apply(text))))
+    if is_no_content(text) or has_placeholder(text):
+        return True
+    # Delimiters and names may be look-alikes: once more with those resolved.
+    if text.isascii() or not (_HINT.search(text) or _HINT_FORMS.search(text)):
+        return False
+    form = transducer().apply(text)
+    return form != text and has_placeholder(form)
 
 
 def flag_residue(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
