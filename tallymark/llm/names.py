@@ -38,6 +38,8 @@ RADIUS, COVER, CITY_RADIUS = 3, 2, 2
 PIVOTS = 16_384
 #: Spellings of a place that are one cell; more are partitioned by pivots.
 CELL = 256
+#: Members of a cell up to which pairs are compared one by one.
+FEW = 12
 #: Members of a class that one join task pairs with another such block.
 BLOCK = 2_000
 
@@ -85,6 +87,23 @@ def _initials() -> dict[str, tuple[str, str]]:
 _INITIALS = _initials()
 
 
+def _letters(word: str) -> int:
+    """The set of its letters; each edit brings in or takes out one at most."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) % 61)
+    return out
+
+
+_CLOSE = [(w, len(w), _letters(w)) for w in _VOCABULARY if len(w) >= 4]
+_LONG_PARTS = [p for p in PARTS if len(p) > 5]
+
+
+@lru_cache(maxsize=200_000)
+def _is_part(token: str) -> bool:
+    return token in PARTS or len(token) >= 6 and any(edits(token, p, 1) <= 1 for p in _LONG_PARTS)
+
+
 @lru_cache(maxsize=200_000)
 def _known(token: str) -> str | None:
     """The vocabulary word a token stands for: equal, or a few edits off and no other one nearer."""
@@ -93,7 +112,9 @@ def _known(token: str) -> str | None:
     if len(token) < 4:
         return next((w for w in _FULL_SHORT if len(token) == 3 and edits(token, w, 1) == 1), None)
     most = 1 if len(token) < 6 else 2 if len(token) < 9 else 3
-    best = min(((edits(token, w, most), -len(w), w) for w in _VOCABULARY if len(w) >= 4 and abs(len(w) - len(token)) <= most), default=(9, 0, ""))
+    n, own = len(token), _letters(token)
+    near = [(w, k) for w, k, m in _CLOSE if abs(k - n) <= most and (own & ~m).bit_count() <= most and (m & ~own).bit_count() <= most]
+    best = min(((edits(token, w, most), -k, w) for w, k in near), default=(9, 0, ""))
     return best[2] if best[0] <= most and best[0] * 3 <= len(best[2]) + 1 else None
 
 
@@ -109,7 +130,7 @@ def read_name(name: str) -> tuple[str, str, str, bool]:
                 word = _known(token)
                 if token in GLUE or token.isdigit():
                     continue
-                if word is None and token in PARTS or word is None and len(token) >= 6 and any(edits(token, p, 1) <= 1 for p in PARTS if len(p) > 5):
+                if word is None and _is_part(token):
                     kinds.append("part")
                 elif word in _KIND_OF:
                     kinds.append(_KIND_OF[word])
@@ -167,8 +188,27 @@ def levenshtein_pairs(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarr
 
 
 def levenshtein(a: str, b: str) -> int:
-    p = Points([a, b])
-    return int(levenshtein_pairs(p.code[:1], p.size[:1], p.code[1:], p.size[1:])[0])
+    """Of two words; many pairs go through ``Points``."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def close_pairs(texts: list[str], at: list[int], radius: int) -> list[tuple[int, int, int]]:
+    """(row of ``at``, other row, distance) of all pairs within the radius, of a few texts."""
+    masks = [_letters(t) for t in texts]
+    out = []
+    for i in at:
+        for j, t in enumerate(texts):
+            if abs(len(t) - len(texts[i])) <= radius and (masks[i] & ~masks[j]).bit_count() <= radius and (masks[j] & ~masks[i]).bit_count() <= radius:
+                d = levenshtein(texts[i], t) if i != j else 0
+                if d <= radius:
+                    out.append((i, j, d))
+    return out
 
 
 class Points:
@@ -382,7 +422,7 @@ def _rank(m: dict) -> tuple:
 def _one_zip(cell: list[dict]) -> Iterator[tuple[int, int, int, bool]]:
     """Each member with the best one of its component of variants; all share a zip code."""
     cell = sorted(cell, key=_rank)
-    points, root = Points([m["core"] for m in cell]), np.arange(len(cell))
+    root = np.arange(len(cell))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -390,15 +430,25 @@ def _one_zip(cell: list[dict]) -> Iterator[tuple[int, int, int, bool]]:
             i = root[i]
         return i
 
+    def link(a: int, b: int, e: int) -> None:
+        x, y = find(a), find(b)
+        if x != y and _may(cell[a], cell[b], e) and _same_field(cell[a], cell[b]):
+            root[max(x, y)] = min(x, y)
+
     def pairs(at: np.ndarray, other: np.ndarray) -> None:
         there = points.only(other)
         for i in range(0, len(at), 4096):
             for s, t, e in zip(*points.within(at[i : i + 4096], there, RADIUS)):
-                a, b = int(s), int(other[t])
-                x, y = find(a), find(b)
-                if x != y and _may(cell[a], cell[b], int(e)) and _same_field(cell[a], cell[b]):
-                    root[max(x, y)] = min(x, y)
-
+                link(int(s), int(other[t]), int(e))
+
+    if len(cell) <= FEW:
+        for a, b, e in close_pairs([m["core"] for m in cell], list(range(len(cell))), RADIUS):
+            link(a, b, e)
+        for i in range(len(cell)):
+            if (x := find(i)) != i:
+                yield cell[i]["sid"], cell[x]["sid"], 0, True
+        return
+    points = Points([m["core"] for m in cell])
     everyone = np.arange(len(cell))
     pairs(everyone, everyone[:64])
     lead = np.array([find(i) for i in everyone])
@@ -419,11 +469,12 @@ def _one_city(cell: list[dict]) -> Iterator[tuple[int, int, int, bool]]:
     open_ = np.array([i for i, m in enumerate(cell) if m["zip"] is None], dtype=np.int64)
     if not len(open_) or len(cell) < 2:
         return
-    points = Points([m["core"] for m in cell])
+    few = len(cell) <= FEW
+    points = None if few else Points([m["core"] for m in cell])
     near: dict[tuple[str, str], bool] = {}
     for i in range(0, len(open_), 4096):
         best: dict[int, tuple] = {}
-        for s, t, e in zip(*points.within(open_[i : i + 4096], points, RADIUS)):
+        for s, t, e in close_pairs([m["core"] for m in cell], open_.tolist(), RADIUS) if few else zip(*points.within(open_[i : i + 4096], points, RADIUS)):
             s, t, e = int(s), int(t), int(e)
             a, b = cell[s], cell[t]
             if s == t or (b["zip"] is None and t > s):
