@@ -552,7 +552,8 @@ def _placeless(spelled: DataFrame, linked: DataFrame) -> DataFrame:
     prefix = F.when(F.length("cell") <= F.length("core"), F.col("q_cut_short") & F.col("core").startswith(F.col("cell"))).otherwise(F.col("cut_short") & F.col("cell").startswith(F.col("core"))) & (short >= 5)
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
     a, b = words(F.col("field")), words(F.col("q_field"))
-    alike = both.where(((F.col("d") <= allowed) | prefix) & ((F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)))
+    # Few pairs, used twice: written once, as the visits behind them are Python's.
+    alike = cut(both.where(((F.col("d") <= allowed) | prefix) & ((F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0))))
     # One swap of neighbours is two edits of the metric: equal letters, equal length.
     letters = lambda c: F.array_sort(F.split(c, ""))
     near = (F.col("d") <= 1) | ((F.col("d") == 2) & (letters(F.col("core")) == letters(F.col("cell"))))
