@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import math
-import uuid
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +67,8 @@ def cut(df: DataFrame) -> DataFrame:
         if not shared:
             if not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = f"file:///tmp/tallymark-checkpoint-{uuid.uuid4().hex}"
+            folder = tempfile.mkdtemp(prefix="tallymark-checkpoint-")  # one machine, and gone with its process
+            atexit.register(shutil.rmtree, folder, True)
+            shared = f"file://{folder}"
         sc.setCheckpointDir(shared)
     return df.checkpoint()

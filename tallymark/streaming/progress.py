@@ -20,8 +20,10 @@ def once(stream: DataFrame, keys: list[str], time: str, late: str = "1 day") ->
 
 
 def progress(rows: DataFrame, total: int | None = None) -> DataFrame:
-    """``model, docs_done, docs_total, completed`` over a stream or a table."""
-    done = rows.groupBy("model").agg(F.approx_count_distinct("document_id").alias("docs_done")) if rows.isStreaming else rows.groupBy("model").agg(F.countDistinct("document_id").alias("docs_done"))
+    """``model, docs_done, docs_total, completed`` over a stream or a table, exactly: a stream
+    keeps one entry of state for each document and model."""
+    once_each = rows.select("model", "document_id").where("document_id IS NOT NULL").dropDuplicates(["model", "document_id"])
+    done = once_each.groupBy("model").agg(F.count("*").alias("docs_done")) if rows.isStreaming else rows.groupBy("model").agg(F.countDistinct("document_id").alias("docs_done"))
     return done.select("model", "docs_done", F.lit(total).cast("bigint").alias("docs_total"), (F.col("docs_done") >= F.lit(total)).alias("completed"))
 
 

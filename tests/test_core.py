@@ -197,6 +197,9 @@ def test_streaming(spark, tmp_path):
     staged = spark.read.parquet(str(tmp_path / "out"))
     assert staged.count() == 6
     assert progress.progress(staged, 3).first().completed
+    q = progress.progress(stream, 3).writeStream.format("memory").queryName("prog").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [tuple(r) for r in spark.table("prog").collect()] == [("m", 3, 3, True)]
     q = progress.throughput(stream, "at").writeStream.format("memory").queryName("thr").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) AS n FROM thr").first().n == 6
