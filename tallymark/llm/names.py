@@ -381,24 +381,25 @@ def city_cells(spelled: DataFrame) -> DataFrame:
     return metric_cells(points, "grp string, text string, n bigint, radius int, cover int").select(F.col("text").alias("city"), F.concat(F.lit("c"), "cell").alias("place")).distinct()
 
 
-def places(spelled: DataFrame) -> DataFrame:
+def places(spelled: DataFrame) -> tuple[DataFrame, bool]:
     """A row for each spelling, place group it belongs to (its zip code, the cells of its
     city) and cell of it: a group of more than CELL spellings is partitioned by pivots of
-    its own, a smaller one is one cell."""
+    its own, a smaller one is one cell. And whether a zip code is in several cells."""
     zips = spelled.where("zip IS NOT NULL").select(*_NAMES, F.concat(F.lit("z"), "zip").alias("place"))
     cities = spelled.join(city_cells(spelled), "city").select(*_NAMES, "place")
     rows = cut(zips.unionByName(cities).withColumn("grp", F.concat_ws("|", "kind", "place")))
     sizes = rows.groupBy("grp").agg(F.count("*").alias("_m"))
-    large = sizes.where(F.col("_m") > CELL).select("grp")
+    large = cut(sizes.where(F.col("_m") > CELL).select("grp"))
+    kinds = {r[0] for r in large.select(F.instr("grp", "|z") > 0).distinct().collect()}
+    if not kinds:
+        return rows.withColumn("cell", F.lit("")), False
     small = rows.join(large, "grp", "left_anti").withColumn("cell", F.lit(""))
-    if not large.limit(1).count():
-        return small
     size = F.length("core")
     reach_ = F.when(F.col("cut_short"), RADIUS).otherwise(_by_length(size, 1, 2, RADIUS))
     far = reach_ + _by_length(size + reach_, 0, 1, COVER)
     points = rows.join(large, "grp", "left_semi").select(*rows.columns, F.col("core").alias("text"), far.alias("radius"), _by_length(size, 0, 1, COVER).alias("cover"))
     schema = f"{_SPELLING}, place string, grp string, text string, radius int, cover int"
-    return small.unionByName(metric_cells(points, schema).select(*rows.columns, "cell"))
+    return small.unionByName(metric_cells(points, schema).select(*rows.columns, "cell")), True in kinds
 
 
 def _may(a: dict, b: dict, distance: int) -> bool:
@@ -595,17 +596,19 @@ def classes(spelled: DataFrame) -> DataFrame:
     joins two places. A class is named by one of its spellings.
     """
     spelled = cut(spelled)
-    found = cut(link_cells(places(spelled)))
+    members, split = places(spelled)
+    found = cut(link_cells(members))
     strong = found.where("strong").select("sid", "target")
     weak = found.where("NOT strong").select("sid", "target", "d")
     open_ = spelled.where("zip IS NULL").select("sid")
     weak = weak.unionByName(_placeless(spelled, weak)).join(open_, "sid", "left_semi").unionByName(_unread_kinds(spelled))
     order = spelled.select(F.col("sid").alias("target"), F.struct(F.col("zip").isNull().alias("z"), (F.col("field") == "").alias("f"), "cut_short", (-F.col("n")).alias("m"), "core", "sid").alias("rank"))
     pick = weak.join(order, "target").groupBy("sid").agg(F.min_by("target", F.struct("d", "rank")).alias("target"))
-    lead = components(strong)
+    # A zip code in one cell has its components already, each member with the best one of its own.
+    lead = components(strong) if split else strong.select("sid", F.col("target").alias("class"))
     up = spelled.select("sid").join(lead, "sid", "left").join(pick, "sid", "left")
-    # What has a zip code stands for its component; the rest follows its nearest.
-    up = cut(up.select("sid", F.coalesce("class", "target", "sid").alias("class")))
+    # What stands for its component, and what is in none, follows its nearest.
+    up = cut(up.select("sid", F.coalesce(F.when(F.col("class") != F.col("sid"), F.col("class")), "target", "sid").alias("class")))
     while True:  # pointer jumping: doubles the distance followed each time
         over = up.select(F.col("sid").alias("class"), F.col("class").alias("next"))
         jumped = cut(up.join(over, "class").select("sid", F.col("next").alias("class"), (F.col("next") != F.col("class")).alias("moved")))
