@@ -377,7 +377,7 @@ def city_cells(spelled: DataFrame) -> DataFrame:
     cities = spelled.where("city IS NOT NULL").groupBy(F.lit("city").alias("grp"), F.col("city").alias("text")).agg(F.sum("n").alias("n"))
     size = F.length("text")
     far = F.lit(CITY_RADIUS) + _by_length(size + CITY_RADIUS, 0, 1, COVER)
-    points = cut(cities.select("grp", "text", "n", far.alias("radius"), _by_length(size, 0, 1, COVER).alias("cover")))
+    points = cities.select("grp", "text", "n", far.alias("radius"), _by_length(size, 0, 1, COVER).alias("cover"))
     return metric_cells(points, "grp string, text string, n bigint, radius int, cover int").select(F.col("text").alias("city"), F.concat(F.lit("c"), "cell").alias("place")).distinct()
 
 
@@ -533,15 +533,18 @@ def _placeless(spelled: DataFrame, linked: DataFrame) -> DataFrame:
     """
     asked = cut(spelled.where("zip IS NULL").join(linked.select("sid").distinct(), "sid", "left_anti"))
     cores = asked.groupBy("kind", "core").agg(F.bool_or("cut_short").alias("cut_short"))
-    numbered = cut(cores.withColumn("part", F.pmod(F.xxhash64("kind", "core"), F.ceil(F.lit(asked.count()) / PIVOTS) + F.lit(1))))
+    parts = max(1, -(-asked.count() // PIVOTS))
+    numbered = cores.withColumn("part", F.pmod(F.xxhash64("kind", "core"), F.lit(parts)))
     size = F.length("core")
     points = spelled.select(*_NAMES, F.col("kind").alias("grp"), F.col("core").alias("text"), _by_length(size, 1, RADIUS, RADIUS).alias("radius"), F.lit(0).alias("cover"))
     points = points.repartition(max(parts_for(spelled), 2 * spelled.sparkSession.sparkContext.defaultParallelism))
     found = None
-    for part in [r.part for r in numbered.select("part").distinct().orderBy("part").collect()]:
+    for part in range(parts):
         pivots: dict[str, list[str]] = defaultdict(list)
-        for row in numbered.where(F.col("part") == part).collect():
+        for row in numbered.where(F.col("part") == part).select("kind", "core").collect():
             pivots[row.kind].append(row.core)
+        if not pivots:
+            continue
         seen = visits(points, dict(pivots), f"{_SPELLING}, grp string, text string, radius int, cover int").where("cell IS NOT NULL").drop("grp", "text", "radius", "cover", "covered")
         found = seen if found is None else found.unionByName(seen)
     if found is None:
