@@ -347,11 +347,26 @@ def visits(points: DataFrame, pivots: dict[str, list[str]], schema: str) -> Data
     return points.select(*names).mapInArrow(run, schema + ", cell string, d int, covered boolean")
 
 
+def _apart(texts: list[str], cover: list[int]) -> list[str]:
+    """The texts that do not live in the cell of one before them."""
+    points = Points(texts)
+    near: dict[int, list[int]] = defaultdict(list)
+    for i, j, d in zip(*points.within(np.arange(len(texts)), points, max(cover, default=0))):
+        if i < j and d <= cover[j]:
+            near[int(i)].append(int(j))
+    gone: set[int] = set()
+    for i in range(len(texts)):
+        if i not in gone:
+            gone.update(near.get(i, ()))
+    return [t for i, t in enumerate(texts) if i not in gone]
+
+
 def metric_cells(points: DataFrame, schema: str) -> DataFrame:
     """``points`` (``schema``, with ``grp, text, n, radius, cover``) with the ``cell`` of each
     pivot they visit.
 
-    Pivots are the most frequent texts of a group, PIVOTS in all at a level. A text within
+    Pivots are chosen among the most frequent texts of a group, PIVOTS in all at a level, less
+    those that live in the cell of a more frequent one. A text within
     ``cover`` of a pivot lives in its cell; ``radius`` is how far a text's variants and the
     pivots of their cells may be, so by the triangle inequality two variants meet in the
     cell in which one of them lives. Texts without a home go on to the next level.
@@ -359,10 +374,11 @@ def metric_cells(points: DataFrame, schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
     rest, out = points, None
     while True:
-        texts = rest.groupBy("grp", "text").agg(F.sum("n").alias("n"))
-        pivots: dict[str, list[str]] = defaultdict(list)
+        texts = rest.groupBy("grp", "text").agg(F.sum("n").alias("n"), F.max("cover").alias("cover"))
+        often: dict[str, list] = defaultdict(list)
         for row in texts.orderBy(F.desc("n"), "text", "grp").limit(PIVOTS).collect():
-            pivots[row.grp].append(row.text)
+            often[row.grp].append(row)
+        pivots = {g: _apart([r.text for r in rows], [r.cover for r in rows]) for g, rows in often.items()}
         if not pivots:
             return out if out is not None else points.select(*names, F.lit(None).cast("string").alias("cell"))
         seen = cut(visits(rest.repartition(max(parts_for(rest), 2 * rest.sparkSession.sparkContext.defaultParallelism)), dict(pivots), schema))
