@@ -53,6 +53,7 @@ class Experiment:
     judge: Callable | None = None
     embed: Callable | None = None
     answers: DataFrame | None = None
+    strategies: tuple[Callable[[str], str], ...] = ()
 
     def add_models(self, models: list[ModelSpec]) -> None:
         check_labels([*self.models, *models])
@@ -64,7 +65,7 @@ class Experiment:
         labels = joins.last_label(labels, "document_id", [F.desc("value")]).select(F.col("document_id").alias("id"), F.col("value").alias("expected_value"))
         docs = joins.labelled(self.documents.select("id", "content"), labels, "id")
         ways = {m.key: "split" if "decompose" in m.manipulations and decomposed.field_prompts(self.prompt, self.schema or {}) else "passes" if "multi_pass" in m.manipulations else "plain" for m in self.models}  # part of what was asked
-        specs = [(i, m.key, m.name, prepare(self.prompt, m, self.examples, self.schema), m.cost_rate, time_unit_seconds(m.cost_rate_time_unit), json.dumps(m.params, sort_keys=True), ways[m.key], m.passes) for i, m in enumerate(self.models)]
+        specs = [(i, m.key, m.name, prepare(self.prompt, m, self.examples, self.schema, self.strategies), m.cost_rate, time_unit_seconds(m.cost_rate_time_unit), json.dumps(m.params, sort_keys=True), ways[m.key], m.passes) for i, m in enumerate(self.models)]
         kinds = [("ordinal", "int"), ("model", "string"), ("model_name", "string"), ("template", "string"), ("rate", "double"), ("unit", "double"), ("params", "string"), ("way", "string"), ("passes", "int")]
         each = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(s, kinds)]) for s in specs])
         rows = docs.withColumn("_m", F.explode(each)).select("*", "_m.*").drop("_m").withColumn("prompt", format_text(F.col("template"), F.col("content")))

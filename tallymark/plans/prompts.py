@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -94,11 +95,15 @@ def with_explanation(schema: dict) -> dict:
     return schema | {"properties": inner, "required": ["explanation", *schema.get("required", [])], "additionalProperties": False}
 
 
-def prepare(prompt: str, model: ModelSpec, examples: list[tuple[str, str]] = (), schema: dict | None = None) -> str:
-    """Override, examples, explanation, then repetition; three times wins over twice. Examples
+def prepare(prompt: str, model: ModelSpec, examples: list[tuple[str, str]] = (), schema: dict | None = None, strategies: tuple[Callable[[str], str], ...] = ()) -> str:
+    """Override, strategies of the caller's (text to text; a placeholder has to stay), examples,
+    explanation, then repetition; three times wins over twice. Examples
     are worded by the kind of task that their labels show."""
     out = model.prompt or prompt
     check_prompt(out)
+    for change in strategies:
+        out = change(out)
+        check_prompt(out)
     if "few_shot" in model.manipulations:
         out = inject_examples(out, list(examples), "extract" if task_type([l for _, l in examples]) == "extraction" else "classify")
     if "explanation" in model.manipulations:

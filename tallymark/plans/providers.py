@@ -112,6 +112,24 @@ class Limited:
         return self.inner.complete(model, prompt, temperature)
 
 
+@dataclass
+class Responses:
+    """A provider over an interface that takes ``input`` and a ``text`` format and answers with
+    a list of outputs: the prompt becomes the input, an enveloped schema is unwrapped, and
+    the texts of the outputs are joined."""
+
+    call: Callable[..., dict]
+    schema: dict | None = None
+
+    def complete(self, model: str, prompt: str, temperature: float | None = 0.0) -> Answer:
+        more = {} if temperature is None else {"temperature": temperature}
+        if self.schema:
+            more["text"] = {"format": {"type": "json_schema"} | self.schema.get("json_schema", self.schema)}
+        out = self.call(model=model, input=[{"role": "user", "content": prompt}], **more)
+        parts = [c.get("text", "") for o in out.get("output", []) for c in o.get("content", []) or []]
+        return Answer(out.get("output_text") or "".join(parts), float(out.get("cost", 0.0)))
+
+
 @dataclass
 class Counted:
     """Adds calls, failures and cost to accumulators of the session, so the driver can read

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,6 +16,12 @@ def stage(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, _: append_staging(df, path)).start()
 
 
+def each(stream: DataFrame, call: Callable[[Row], None], checkpoint: str) -> StreamingQuery:
+    """``call`` for every prediction as it comes, on the executors; a row may come again after a
+    failure. An error of ``call`` stops the stream."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreach(call).start()
+
+
 def once(stream: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
     """Without rows received again within ``late``."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)

@@ -222,6 +222,32 @@ def test_provider_parameters(spark):
     assert (counted.calls.value, counted.failures.value, counted.cost.value) == (2, 1, 2.0)
 
 
+def test_adapters_and_strategies(spark, tmp_path):
+    asked = []
+
+    def call(**given):
+        asked.append(given)
+        return {"output": [{"content": [{"text": "a"}, {"text": "b"}]}, {}], "cost": 2}
+
+    got = providers.Responses(call, schemas.envelope({"type": "object"})).complete("m", "p", None)
+    assert (got.text, got.cost) == ("ab", 2.0) and asked[0]["text"]["format"]["schema"] == {"type": "object"} and "temperature" not in asked[0]
+    assert prompts.prepare("do {content}", ModelSpec("m"), strategies=(str.upper, lambda p: p.replace("{CONTENT}", "{content}"))) == "DO {content}"
+    with pytest.raises(ValueError):
+        prompts.prepare("do {content}", ModelSpec("m"), strategies=(lambda p: "lost",))
+    from tallymark.streaming import progress
+
+    seen = str(tmp_path / "seen")
+
+    def note(row):
+        with open(seen, "a") as f:
+            f.write(f"{row.document_id}\n")
+
+    spark.createDataFrame([("d1",), ("d2",)], "document_id string").write.parquet(str(tmp_path / "in"))
+    progress.each(spark.readStream.schema("document_id string").parquet(str(tmp_path / "in")), note, str(tmp_path / "ck")).awaitTermination()
+    with open(seen) as f:
+        assert sorted(f.read().split()) == ["d1", "d2"]
+
+
 def test_prompt_words():
     add = prompts.add_explanation
     assert add("Explain it {content}") == "Explain it {content}" and "JSON" not in add("Say {content}") and "replaces" in add("Give only the label. {content}")
