@@ -2,14 +2,18 @@
 
 A name is read into a kind (university, hospital for a field, ...), a distinctive core
 and a location; kind words may be abbreviated, translated, initials or mistyped. Cores
-and cities are points of the Levenshtein metric. Names are partitioned by kind and place:
-the zip code, and cells around pivot cities. A place with many names is partitioned by
-pivot cores: a core within its cover of a pivot lives in that cell and, by the triangle
-inequality, cores are replicated to the cells of all pivots within cover and radius, so
-that two variants meet in the cell where one of them lives. Cover and radius go by the
-length of the core. Points without a pivot nearby go on to the next level of pivots.
+and cities are points of the Levenshtein metric.
+
+Names with one zip code are compared in its cell; a zip code with many names is
+partitioned by pivot cores: a core within its cover of a pivot lives in that cell and, by
+the triangle inequality, cores are replicated to the cells of all pivots within cover and
+radius, so that two variants meet in the cell where one of them lives. Cover and radius go
+by the length of the core. Points without a pivot nearby go on to the next level of pivots.
 Inside a cell the radius join is exact, behind a letter-count lower bound.
 
+A spelling without a zip code meets those of its kind that share a piece of the core: of
+r + 1 pieces, r edits leave one as it is, moved by r places at most.
+
 Variants with one zip code form components. A spelling without one follows its nearest
 variant in its city; without any at its place, the nearest whose place does not
 contradict it. Following the pointers gives the class.
@@ -36,7 +40,7 @@ from .lookalike import transducer
 RADIUS, COVER, CITY_RADIUS = 3, 2, 2
 #: Pivots of one level; what they leave uncovered goes to the next level.
 PIVOTS = 16_384
-#: Spellings of a place that are one cell; more are partitioned by pivots.
+#: Spellings of a zip code that are one cell; more are partitioned by pivots.
 CELL = 256
 #: Members of a cell up to which pairs are compared one by one.
 FEW = 12
@@ -95,13 +99,33 @@ def _letters(word: str) -> int:
     return out
 
 
-_CLOSE = [(w, len(w), _letters(w)) for w in _VOCABULARY if len(w) >= 4]
-_LONG_PARTS = [p for p in PARTS if len(p) > 5]
+def _counts(word: str) -> int:
+    """Its letters with their number, up to three of each; an edit as in ``_letters``."""
+    out = 0
+    for c in word:
+        bit = 1 << 3 * (ord(c) % 61)
+        out |= bit if not out & bit else bit << 1 if not out & bit << 1 else bit << 2
+    return out
+
+
+_CLOSE = [(w, len(w), _counts(w)) for w in _VOCABULARY if len(w) >= 4]
+_ASIDE = regex.compile(r"[(\[{][^)\]}]*[)\]}]?")
+_LONG_PARTS = [(p, _counts(p)) for p in PARTS if len(p) > 5]
+
+
+@lru_cache(maxsize=1_000)
+def _close(size: int) -> tuple[int, list[tuple[str, int, int]]]:
+    """Edits that a token of this length may have, and the words within so many letters."""
+    most = 1 if size < 6 else 2 if size < 9 else 3
+    return most, [x for x in _CLOSE if abs(x[1] - size) <= most]
 
 
 @lru_cache(maxsize=200_000)
 def _is_part(token: str) -> bool:
-    return token in PARTS or len(token) >= 6 and any(edits(token, p, 1) <= 1 for p in _LONG_PARTS)
+    if token in PARTS or len(token) < 6:
+        return token in PARTS
+    own = _counts(token)
+    return any((own & ~m).bit_count() <= 1 and (m & ~own).bit_count() <= 1 and edits(token, p, 1) <= 1 for p, m in _LONG_PARTS)
 
 
 @lru_cache(maxsize=200_000)
@@ -111,9 +135,9 @@ def _known(token: str) -> str | None:
         return token
     if len(token) < 4:
         return next((w for w in _FULL_SHORT if len(token) == 3 and edits(token, w, 1) == 1), None)
-    most = 1 if len(token) < 6 else 2 if len(token) < 9 else 3
-    n, own = len(token), _letters(token)
-    near = [(w, k) for w, k, m in _CLOSE if abs(k - n) <= most and (own & ~m).bit_count() <= most and (m & ~own).bit_count() <= most]
+    most, close = _close(len(token))
+    own = _counts(token)
+    near = [(w, k) for w, k, m in close if (own & ~m).bit_count() <= most and (m & ~own).bit_count() <= most]
     best = min(((edits(token, w, most), -k, w) for w, k in near), default=(9, 0, ""))
     return best[2] if best[0] <= most and best[0] * 3 <= len(best[2]) + 1 else None
 
@@ -121,7 +145,7 @@ def _known(token: str) -> str | None:
 @lru_cache(maxsize=200_000)
 def read_name(name: str) -> tuple[str, str, str, bool]:
     """(kind, field, core, core is cut short) of a name as typed; field '' if none is told."""
-    seen = regex.sub(r"[(\[{][^)\]}]*[)\]}]?", " ", transducer().apply(name))
+    seen = _ASIDE.sub(" ", transducer().apply(name))
     readings = []
     for segment in seen.split(","):
         kinds, words, core, cut_short = [], [], [], False
@@ -372,6 +396,9 @@ def metric_cells(points: DataFrame, schema: str) -> DataFrame:
     cell in which one of them lives. Texts without a home go on to the next level.
     """
     names = [c.split()[0] for c in schema.split(", ")]
+    spark = points.sparkSession
+    # Catalyst's estimate for joins of checkpoints would be thousands.
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rest, out = points, None
     while True:
         texts = rest.groupBy("grp", "text").agg(F.sum("n").alias("n"), F.max("cover").alias("cover"))
@@ -381,41 +408,28 @@ def metric_cells(points: DataFrame, schema: str) -> DataFrame:
         pivots = {g: _apart([r.text for r in rows], [r.cover for r in rows]) for g, rows in often.items()}
         if not pivots:
             return out if out is not None else points.select(*names, F.lit(None).cast("string").alias("cell"))
-        seen = cut(visits(rest.repartition(max(parts_for(rest), 2 * rest.sparkSession.sparkContext.defaultParallelism)), dict(pivots), schema))
+        seen = cut(visits(rest.repartition(parts), dict(pivots), schema))
         level = seen.where("cell IS NOT NULL").select(*names, "cell")
         out = level if out is None else out.unionByName(level)
         rest = seen.where("NOT covered").select(*names).distinct()
 
 
-def city_cells(spelled: DataFrame) -> DataFrame:
-    """``city, place``: the cells of the places' own metric; two cities within CITY_RADIUS
-    share one."""
-    cities = spelled.where("city IS NOT NULL").groupBy(F.lit("city").alias("grp"), F.col("city").alias("text")).agg(F.sum("n").alias("n"))
-    size = F.length("text")
-    far = F.lit(CITY_RADIUS) + _by_length(size + CITY_RADIUS, 0, 1, COVER)
-    points = cities.select("grp", "text", "n", far.alias("radius"), _by_length(size, 0, 1, COVER).alias("cover"))
-    return metric_cells(points, "grp string, text string, n bigint, radius int, cover int").select(F.col("text").alias("city"), F.concat(F.lit("c"), "cell").alias("place")).distinct()
-
-
 def places(spelled: DataFrame) -> tuple[DataFrame, bool]:
-    """A row for each spelling, place group it belongs to (its zip code, the cells of its
-    city) and cell of it: a group of more than CELL spellings is partitioned by pivots of
-    its own, a smaller one is one cell. And whether a zip code is in several cells."""
-    zips = spelled.where("zip IS NOT NULL").select(*_NAMES, F.concat(F.lit("z"), "zip").alias("place"))
-    cities = spelled.join(city_cells(spelled), "city").select(*_NAMES, "place")
-    rows = cut(zips.unionByName(cities).withColumn("grp", F.concat_ws("|", "kind", "place")))
+    """A row for each spelling with a zip code and cell of it: a zip code with more than CELL
+    spellings of a kind is partitioned by pivots, a smaller one is one cell. And whether one
+    is in several cells."""
+    rows = cut(spelled.where("zip IS NOT NULL").select(*_NAMES, F.concat_ws("|", "kind", "zip").alias("grp")))
     sizes = rows.groupBy("grp").agg(F.count("*").alias("_m"))
     large = cut(sizes.where(F.col("_m") > CELL).select("grp"))
-    kinds = {r[0] for r in large.select(F.instr("grp", "|z") > 0).distinct().collect()}
-    if not kinds:
+    if large.isEmpty():
         return rows.withColumn("cell", F.lit("")), False
     small = rows.join(large, "grp", "left_anti").withColumn("cell", F.lit(""))
     size = F.length("core")
     reach_ = F.when(F.col("cut_short"), RADIUS).otherwise(_by_length(size, 1, 2, RADIUS))
     far = reach_ + _by_length(size + reach_, 0, 1, COVER)
     points = rows.join(large, "grp", "left_semi").select(*rows.columns, F.col("core").alias("text"), far.alias("radius"), _by_length(size, 0, 1, COVER).alias("cover"))
-    schema = f"{_SPELLING}, place string, grp string, text string, radius int, cover int"
-    return small.unionByName(metric_cells(points, schema).select(*rows.columns, "cell")), True in kinds
+    schema = f"{_SPELLING}, grp string, text string, radius int, cover int"
+    return small.unionByName(metric_cells(points, schema).select(*rows.columns, "cell")), True
 
 
 def _may(a: dict, b: dict, distance: int) -> bool:
@@ -436,7 +450,7 @@ def _rank(m: dict) -> tuple:
     return (m["field"] == "", m["cut_short"], -m["n"], m["core"], m["sid"])
 
 
-def _one_zip(cell: list[dict]) -> Iterator[tuple[int, int, int, bool]]:
+def _one_zip(cell: list[dict]) -> Iterator[tuple[int, int]]:
     """Each member with the best one of its component of variants; all share a zip code."""
     cell = sorted(cell, key=_rank)
     root = np.arange(len(cell))
@@ -463,7 +477,7 @@ def _one_zip(cell: list[dict]) -> Iterator[tuple[int, int, int, bool]]:
             link(a, b, e)
         for i in range(len(cell)):
             if (x := find(i)) != i:
-                yield cell[i]["sid"], cell[x]["sid"], 0, True
+                yield cell[i]["sid"], cell[x]["sid"]
         return
     points = Points([m["core"] for m in cell])
     everyone = np.arange(len(cell))
@@ -476,49 +490,20 @@ def _one_zip(cell: list[dict]) -> Iterator[tuple[int, int, int, bool]]:
     for i in everyone:
         x = find(int(i))
         if x != i:
-            yield cell[i]["sid"], cell[x]["sid"], 0, True
-
-
-def _one_city(cell: list[dict]) -> Iterator[tuple[int, int, int, bool]]:
-    """Each member without a zip code with its nearest variant in the same city: one with a
-    zip code, or a better-ranked one."""
-    cell = sorted(cell, key=_rank)
-    open_ = np.array([i for i, m in enumerate(cell) if m["zip"] is None], dtype=np.int64)
-    if not len(open_) or len(cell) < 2:
-        return
-    few = len(cell) <= FEW
-    points = None if few else Points([m["core"] for m in cell])
-    near: dict[tuple[str, str], bool] = {}
-    for i in range(0, len(open_), 4096):
-        best: dict[int, tuple] = {}
-        for s, t, e in close_pairs([m["core"] for m in cell], open_.tolist(), RADIUS) if few else zip(*points.within(open_[i : i + 4096], points, RADIUS)):
-            s, t, e = int(s), int(t), int(e)
-            a, b = cell[s], cell[t]
-            if s == t or (b["zip"] is None and t > s):
-                continue
-            key = (e, b["zip"] is None, t)
-            if (s not in best or key < best[s]) and _may(a, b, e) and _same_field(a, b):
-                pair = (a["city"], b["city"])
-                if pair not in near:
-                    near[pair] = levenshtein(*pair) <= CITY_RADIUS
-                if near[pair]:
-                    best[s] = key
-        for s, (e, _, t) in best.items():
-            yield cell[s]["sid"], cell[t]["sid"], e, False
+            yield cell[i]["sid"], cell[x]["sid"]
 
 
 def link_cells(members: DataFrame) -> DataFrame:
-    """``sid, target, d, strong`` from the exact radius joins inside the cells: strong links
-    join components, of the others each spelling has its nearest."""
-    names = [*_NAMES, "grp", "cell"]
-    cells = members.select(*names, "place").repartition("grp", "cell").sortWithinPartitions("grp", "cell", "sid")
+    """``sid, target`` from the exact radius joins inside the cells of zip codes: links join
+    components."""
+    cells = members.select(*_NAMES, "grp", "cell").repartition("grp", "cell").sortWithinPartitions("grp", "cell", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key, out = [], None, []
 
         def flush() -> None:
             if len(held) > 1:
-                out.extend((_one_zip if held[0]["place"].startswith("z") else _one_city)(held))
+                out.extend(_one_zip(held))
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -532,54 +517,98 @@ def link_cells(members: DataFrame) -> DataFrame:
         flush()
         yield _links(out)
 
-    return cells.mapInArrow(run, "sid bigint, target bigint, d int, strong boolean")
+    return cells.mapInArrow(run, "sid bigint, target bigint")
 
 
 def _links(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = pa.int64(), pa.int64(), pa.int32(), pa.bool_()
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["sid", "target", "d", "strong"])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(2)], ["sid", "target"])
 
 
-def _placeless(spelled: DataFrame, linked: DataFrame) -> DataFrame:
-    """``sid, target, d``: variants of the spellings without a zip code that no city linked,
-    among those whose place does not contradict theirs because one of them has none. One
-    that is more than an edit off counts only if no other institution is in the radius.
+@lru_cache(maxsize=1_000)
+def _pieces(size: int) -> list[tuple[int, int]]:
+    """Where a core of this length is cut: one piece more than edits it may have."""
+    parts = reach(size, size) + 1
+    at = [i * size // parts for i in range(parts + 1)]
+    return list(zip(at, at[1:]))
 
-    The cores asked for are the pivots, PIVOTS at a time; each cell is the radius of its pivot.
-    """
-    asked = cut(spelled.where("zip IS NULL").join(linked.select("sid").distinct(), "sid", "left_anti"))
-    cores = asked.groupBy("kind", "core").agg(F.bool_or("cut_short").alias("cut_short"))
-    parts = max(1, -(-asked.count() // PIVOTS))
-    numbered = cores.withColumn("part", F.pmod(F.xxhash64("kind", "core"), F.lit(parts)))
-    size = F.length("core")
-    points = spelled.select(*_NAMES, F.col("kind").alias("grp"), F.col("core").alias("text"), _by_length(size, 1, RADIUS, RADIUS).alias("radius"), F.lit(0).alias("cover"))
-    points = points.repartition(max(parts_for(spelled), 2 * spelled.sparkSession.sparkContext.defaultParallelism))
-    found = None
-    for part in range(parts):
-        pivots: dict[str, list[str]] = defaultdict(list)
-        for row in numbered.where(F.col("part") == part).select("kind", "core").collect():
-            pivots[row.kind].append(row.core)
-        if not pivots:
-            continue
-        seen = visits(points, dict(pivots), f"{_SPELLING}, grp string, text string, radius int, cover int").where("cell IS NOT NULL").drop("grp", "text", "radius", "cover", "covered")
-        found = seen if found is None else found.unionByName(seen)
-    if found is None:
-        return linked.select("sid", "target", "d").where("false")
-    mine = asked.select(F.col("kind"), F.col("core").alias("cell"), *[F.col(c).alias(f"q_{c}") for c in ("sid", "field", "cut_short", "n", "city")])
-    both = found.join(mine, ["kind", "cell"]).where("sid <> q_sid AND (city IS NULL OR q_city IS NULL)")
-    short = F.least(F.length("core"), F.length("cell"))
-    allowed = _by_length(short, 1, 2, RADIUS)
-    prefix = F.when(F.length("cell") <= F.length("core"), F.col("q_cut_short") & F.col("core").startswith(F.col("cell"))).otherwise(F.col("cut_short") & F.col("cell").startswith(F.col("core"))) & (short >= 5)
+
+@lru_cache(maxsize=1_000)
+def _windows(size: int) -> list[tuple[str, int, int]]:
+    """(mark, start, end): what of a core of this length may be a piece of a variant of it. If
+    a piece is the first one without an edit, as many edits as pieces are before it at least,
+    and if the last one, after it; so it has moved by no more than those on one side."""
+    out = []
+    for other in range(max(0, size - RADIUS), size + RADIUS + 1):
+        most, grown = reach(other, other), size - other
+        if abs(grown) <= reach(size, other):
+            for i, (a, b) in enumerate(_pieces(other)):
+                low, high = max(0, a - i, a + grown - (most - i)), min(size - (b - a), a + i, a + grown + most - i)
+                out += [(f"{other}.{i}.", p, p + b - a) for p in range(low, high + 1)]
+    return out
+
+
+def _marks(core: str, cut_short: bool, asks: bool) -> set[str]:
+    """What two variants share one of, if one of them ``asks``."""
+    n = len(core)
+    if asks:
+        out = {mark + core[a:b] for mark, a, b in _windows(n)}
+    else:
+        out = {f"{n}.{i}.{core[a:b]}" for i, (a, b) in enumerate(_pieces(n))}
+    # A core that is cut short by more letters than it may have edits.
+    for k in range(reach(n - RADIUS, n) + 1, RADIUS + 1):
+        if n - k >= 5:
+            out.add(f"{'<>'[asks]}{core[: n - k]}")
+    if cut_short:
+        out.add(f"{'><'[asks]}{core}")
+    return out
+
+
+def variants(spelled: DataFrame) -> DataFrame:
+    """``q_sid, sid, d``: the spellings without a zip code with all of their kind that may be
+    one name by their cores; a pair may be there repeatedly."""
+
+    def marked(df: DataFrame, asks: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cores = batch.column(2).to_pylist()
+                marks = [_marks(c, s, asks) for c, s in zip(cores, batch.column(3).to_pylist())]
+                rows = pa.array([i for i, m in enumerate(marks) for _ in m], pa.int32())
+                letters = pa.array([_letters(c) for c in cores], pa.int64())
+                picked = [batch.column(i).take(rows) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([*picked, letters.take(rows), pa.array([x for m in marks for x in m], pa.string())], ["sid", "kind", "core", "cut_short", "letters", "mark"])
+
+        schema = "sid bigint, kind string, core string, cut_short boolean, letters bigint, mark string"
+        return df.select("sid", "kind", "core", "cut_short").mapInArrow(run, schema).select("sid", "core", "cut_short", "letters", F.xxhash64("kind", "mark").alias("mark"))
+
+    asked = marked(spelled.where("zip IS NULL"), True).select("mark", *[F.col(c).alias(f"q_{c}") for c in ("sid", "core", "cut_short", "letters")])
+    apart = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(b))) <= RADIUS
+    sizes = F.length("core"), F.length("q_core")
+    d = F.levenshtein("core", "q_core", RADIUS)
+    prefix = F.when(sizes[1] <= sizes[0], F.col("q_cut_short") & F.col("core").startswith(F.col("q_core"))).otherwise(F.col("cut_short") & F.col("q_core").startswith(F.col("core"))) & (F.least(*sizes) >= 5)
+    both = marked(spelled, False).join(asked, "mark").where((F.col("sid") != F.col("q_sid")) & apart("letters", "q_letters") & apart("q_letters", "letters") & (d >= 0) & ((d <= _by_length(F.least(*sizes), 1, 2, RADIUS)) | prefix))
+    return both.select("q_sid", "sid", d.alias("d"))
+
+
+def _without_zip(spelled: DataFrame) -> DataFrame:
+    """``sid, target, d``: the spellings without a zip code with their variants in the same
+    city, with a zip code or better ranked; if there are none, with those whose place does not
+    contradict theirs because one of them has none. Of these, one that is more than an edit
+    off counts only if no other institution is in the radius."""
+    told = ["sid", "kind", "field", "cut_short", "n", "city", "core"]
+    pairs = variants(spelled).join(spelled, "sid").join(spelled.select(*[F.col(c).alias(f"q_{c}") for c in told]), "q_sid")
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
     a, b = words(F.col("field")), words(F.col("q_field"))
-    # Few pairs, used twice: written once, as the visits behind them are Python's.
-    alike = cut(both.where(((F.col("d") <= allowed) | prefix) & ((F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0))))
+    one_field = (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
+    near_city = F.coalesce(F.levenshtein("city", "q_city", CITY_RADIUS) >= 0, F.lit(False))
+    unplaced = F.col("city").isNull() | F.col("q_city").isNull()
+    better = F.col("zip").isNotNull() | (F.struct(F.col("q_field") == "", F.col("q_cut_short"), -F.col("q_n"), F.col("q_core"), F.col("q_sid")) > F.struct(F.col("field") == "", F.col("cut_short"), -F.col("n"), F.col("core"), F.col("sid")))
     # One swap of neighbours is two edits of the metric: equal letters, equal length.
     letters = lambda c: F.array_sort(F.split(c, ""))
-    near = (F.col("d") <= 1) | ((F.col("d") == 2) & (letters(F.col("core")) == letters(F.col("cell"))))
-    better = F.col("zip").isNotNull() | (F.struct(F.col("q_field") == "", F.col("q_cut_short"), -F.col("q_n"), F.col("cell"), F.col("q_sid")) > F.struct(F.col("field") == "", F.col("cut_short"), -F.col("n"), F.col("core"), F.col("sid")))
-    others = alike.groupBy("q_sid").agg(F.countDistinct("zip").alias("zips"))
-    ok = alike.join(others, "q_sid").where(better & (near | (F.col("zips") <= 1)))
+    near = (F.col("d") <= 1) | ((F.col("d") == 2) & (letters(F.col("core")) == letters(F.col("q_core"))))
+    # Few pairs, used twice: written once, as the pieces behind them are Python's.
+    alike = cut(pairs.where((F.col("kind") == F.col("q_kind")) & one_field & (near_city | unplaced)).select("q_sid", "sid", "d", "zip", near_city.alias("placed"), better.alias("better"), near.alias("near")))
+    seen = alike.groupBy("q_sid").agg(F.bool_or(F.col("placed") & F.col("better")).alias("any"), F.countDistinct(F.when(~F.col("placed"), F.col("zip"))).alias("zips"))
+    ok = alike.join(seen, "q_sid").where(F.col("better") & F.when(F.col("any"), F.col("placed")).otherwise(~F.col("placed") & (F.col("near") | (F.col("zips") <= 1))))
     return ok.select(F.col("q_sid").alias("sid"), F.col("sid").alias("target"), "d")
 
 
@@ -616,11 +645,8 @@ def classes(spelled: DataFrame) -> DataFrame:
     """
     spelled = cut(spelled)
     members, split = places(spelled)
-    found = cut(link_cells(members))
-    strong = found.where("strong").select("sid", "target")
-    weak = found.where("NOT strong").select("sid", "target", "d")
-    open_ = spelled.where("zip IS NULL").select("sid")
-    weak = weak.unionByName(_placeless(spelled, weak)).join(open_, "sid", "left_semi").unionByName(_unread_kinds(spelled))
+    strong = link_cells(members)
+    weak = _without_zip(spelled).unionByName(_unread_kinds(spelled))
     order = spelled.select(F.col("sid").alias("target"), F.struct(F.col("zip").isNull().alias("z"), (F.col("field") == "").alias("f"), "cut_short", (-F.col("n")).alias("m"), "core", "sid").alias("rank"))
     pick = weak.join(order, "target").groupBy("sid").agg(F.min_by("target", F.struct("d", "rank")).alias("target"))
     # A zip code in one cell has its components already, each member with the best one of its own.

@@ -204,6 +204,36 @@ def test_cells_lose_no_link(spark, monkeypatch):
     assert results[0] == results[1] and max(map(len, results[0])) > 60
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcz", max_size=14), st.lists(st.tuples(st.integers(0, 14), st.sampled_from(["", "a", "bz"])), max_size=3), st.booleans(), st.booleans())
+def test_variants_share_a_piece(a, changes, cut_a, cut_b):
+    b = a
+    for i, x in changes:
+        b = b[:i] + x + b[i + 1 :]
+    d, short = names.levenshtein(a, b), min(len(a), len(b))
+    prefix = d <= names.RADIUS and short >= 5 and (cut_a and len(a) <= len(b) and b.startswith(a) or cut_b and len(b) <= len(a) and a.startswith(b))
+    if d <= names.reach(len(a), len(b)) or prefix:
+        assert names._marks(a, cut_a, True) & names._marks(b, cut_b, False)
+
+
+def test_names_of_a_city_take_no_more_jobs(spark, monkeypatch):
+    monkeypatch.setattr(names, "CELL", 8)
+    monkeypatch.setattr(names, "PIVOTS", 8)
+    rng, track = random.Random(5), spark.sparkContext.statusTracker()
+    cores = ["".join(rng.choice("bdglmrst") + rng.choice("aeiou") for _ in range(6)) for _ in range(48)]
+    jobs = []
+    for n in (4, 48):
+        rows = [(k * 1000 + i, f"{cores[i]} {word}", None, "Mirna") for i in range(n) for k, word in enumerate(("University", "Univ."))]
+        df = spark.createDataFrame(rows, "mention_id bigint, name string, zip string, city string")
+        spark.sparkContext.setJobGroup(f"{n} names", "")
+        try:
+            assert {(i, 1000 + i) for i in range(n)} <= {(r.mention_a, r.mention_b) for r in names.class_pairs(names.mention_classes(df)).collect()}
+            jobs.append(len(track.getJobIdsForGroup(f"{n} names")))
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+    assert jobs[1] <= jobs[0] + 8, jobs
+
+
 # 6: percentiles
 
 
